@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm import licenses, quality
 from lectern.llm.common import read
+from lectern.llm.knn import OP10_SQL, op10_top_k
+from lectern.llm.langid import op7_language_id
+from lectern.llm.packing import op9_packing
+from lectern.llm.toxicity import op3_toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +88,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op5_quality_rules, op7_language_id, op9_packing, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op5_quality_rules": _op5_sql()}
+    return {"op1_license_scan": _op1_sql(), "op5_quality_rules": _op5_sql(), "op10_top_k": OP10_SQL}

@@ -116,7 +116,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 10) -> DataFrame:
     n_data, n_queries = data.count(), queries.count()
     data_blocks, query_blocks = max(1, -(-n_data // DATA_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = queries.select("vec_id", "v", F.lit(True).alias("query"), spread(data_blocks).alias("d"), deal(query_blocks).alias("q"))
     right = data.select("vec_id", "v", F.lit(False).alias("query"), deal(data_blocks).alias("d"), spread(query_blocks).alias("q"))
 

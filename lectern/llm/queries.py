@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import licenses, quality
 from lectern.llm.common import read
+from lectern.llm.dedup import op2_near_dedup
 from lectern.llm.knn import OP10_SQL, op10_top_k
 from lectern.llm.langid import op7_language_id
 from lectern.llm.packing import op9_packing
@@ -89,7 +90,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op3_toxicity, op5_quality_rules, op6_pii, op7_language_id, op9_packing, op10_top_k)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_toxicity, op5_quality_rules, op6_pii, op7_language_id, op9_packing, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

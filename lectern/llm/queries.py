@@ -10,6 +10,7 @@ from lectern.llm.common import read
 from lectern.llm.dedup import op2_near_dedup
 from lectern.llm.knn import OP10_SQL, op10_top_k
 from lectern.llm.langid import op7_language_id
+from lectern.llm.mixing import op4_mixing
 from lectern.llm.packing import op9_packing
 from lectern.llm.pii import op6_pii
 from lectern.llm.suffix import op8_repeated_bytes
@@ -91,7 +92,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_toxicity, op5_quality_rules, op6_pii, op7_language_id, op8_repeated_bytes, op9_packing, op10_top_k)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_toxicity, op4_mixing, op5_quality_rules, op6_pii, op7_language_id, op8_repeated_bytes, op9_packing, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

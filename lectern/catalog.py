@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lectern.plans import relational, search
+
 
 def queries() -> dict:
-    return {}
+    return {**search.QUERIES, **relational.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**search.SQL, **relational.SQL}

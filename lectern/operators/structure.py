@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("idx")
 NUMBERED = "^([0-9]{1,2}|[A-Z])((?:\\.[0-9]{1,2}){0,4})[.)]?\\s+[\\p{Lu}0-9\"'(]"
 
 
@@ -26,7 +25,7 @@ def numbering(blocks: DataFrame) -> DataFrame:
     parts = F.size(F.split(F.regexp_extract("text", NUMBERED, 2), "\\.", -1))
     hits = blocks.withColumn("hit", F.rlike("text", F.lit(NUMBERED)) & headingish("text"))
     hits = hits.withColumn("depth", F.when(F.col("hit"), parts)).withColumn("weak", F.coalesce(F.col("hit") & (F.col("depth") == 1), F.lit(False)))
-    runs = hits.withColumn("run", F.sum((~F.col("weak")).cast("int")).over(BY_DOC))
+    runs = hits.withColumn("run", F.sum((~F.col("weak")).cast("int")).over(Window.partitionBy("doc_id").orderBy("idx")))
     in_run = Window.partitionBy("doc_id", "run", "weak")
     placed = runs.withColumn("p", F.row_number().over(in_run.orderBy("idx"))).withColumn("len", F.count(F.lit(1)).over(in_run))
     kept = placed.filter(F.col("hit") & ~(F.col("weak") & (F.col("p") % 2 == 0) & (F.col("p") < F.col("len"))))

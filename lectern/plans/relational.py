@@ -272,3 +272,50 @@ SQL = {
     + ", ".join(f"({e})" for e in _EDGES) + ") AS x(src, dst, label, doc_id)",
     "section_paths": "SELECT * FROM (VALUES (1::BIGINT,0::BIGINT,1::BIGINT,'Guide','Guide'), (1,1,2,'Setup','Guide > Setup'), (1,2,3,'Power','Guide > Setup > Power'), (1,3,2,'Use','Guide > Use'), (1,4,1,'Annex','Annex'), (2,0,2,'Loose','Loose'), (2,1,1,'Top','Top'), (2,2,4,'Deep','Top > Deep')) AS t(doc_id, idx, level, title, path)",
 }
+
+
+def ground_sentences(spark, sf_dir):
+    """Assistant turns, sentence by sentence, against the user turn before them as the only passage."""
+    from lectern.operators import grounding
+
+    c = read(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    qid = F.col("conv_id") * 1000 + F.col("turn")
+    pairs = c.withColumn("asked", F.lag("text").over(w)).withColumn("who", F.lag("role").over(w)).filter("role = 'assistant' AND who = 'user'").select(qid.alias("qid"), "text", "asked")
+    claims = grounding.check(pairs.select("qid", F.col("text").alias("answer")), pairs.select("qid", F.lit(1).alias("n"), F.col("asked").alias("text")))
+    return claims.select("qid", "sent", F.coalesce("support", F.lit(0.0)).alias("support"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def context_pack(spark, sf_dir):
+    """The hits of every benchmark item packed into the default budget; a document is one section."""
+    from lectern.operators import context
+    from lectern.plans import search
+
+    hits = search.bm25_topk(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    rows = hits.select("qid", "rank", F.col("doc_id").alias("section_id"), "text", "score")
+    packed = context.pack(rows, _docs(spark, sf_dir).select(F.col("doc_id").alias("section_id"), F.col("text").alias("full")))
+    return packed.select("qid", "n", "section_id", F.length("text").cast("bigint").alias("chars"))
+
+
+def numbering_runs(spark, sf_dir):
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    found = structure.numbering(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return _docs(spark, sf_dir).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (ground_sentences, context_pack, numbering_runs)}
+SQL["context_pack"] = """WITH RECURSIVE r AS MATERIALIZED (SELECT qid, rank AS k, doc_id, length(text) AS n, text FROM (BM25) JOIN documents USING (doc_id)),
+    p AS (SELECT qid, k, doc_id, n, row_number() OVER (PARTITION BY qid ORDER BY k) AS i FROM r),
+    w AS (SELECT qid, i, 9000 - least(n, 9000) AS room, least(n, 9000) AS shown, doc_id, false AS stop FROM p WHERE i = 1
+        UNION ALL SELECT p.qid, p.i, CASE WHEN x THEN room ELSE room - least(p.n, room) END, CASE WHEN x THEN 0 ELSE least(p.n, room) END, p.doc_id, x
+        FROM (SELECT p.*, w.room, (w.stop OR w.room <= 0 OR (p.n > w.room AND w.room < 400)) AS x FROM w JOIN p ON p.qid = w.qid AND p.i = w.i + 1) p)
+    SELECT qid, i AS n, doc_id AS section_id, shown::BIGINT AS chars FROM w WHERE NOT stop"""
+
+
+def _bm25_sql() -> str:
+    from lectern.plans import search
+
+    return search.SQL["bm25_topk"]
+
+
+SQL["context_pack"] = SQL["context_pack"].replace("(BM25)", f"({_bm25_sql()})")

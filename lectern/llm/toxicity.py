@@ -33,6 +33,7 @@ from lectern.llm.langid import part
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 BREAKS = frozenset(".!?;:\n")
 STEMS = (4, 5, 6, 7)
+TRACE = 1e-9
 
 # Closed-class words of the grammar, in English, French, German, Spanish and Italian.
 TARGETS = frozenset("you your yours he she they them him her his their tu toi vous votre ton ta du dich dir sie ihr euch usted ustedes tus su él ella voi lui lei".split())
@@ -55,20 +56,25 @@ class Grammar:
         return w
 
 
-class Matcher:
-    """The composed transducer; word weights are kept for a bounded number of words."""
+class Weights(dict):
+    """word -> weight, kept for a bounded number of words; threat words have a trace at least."""
 
-    def __init__(self, grammar: Grammar, limit: int = 300_000):
+    def __init__(self, grammar: Grammar, limit: int):
         self.grammar, self.limit = grammar, limit
-        self.known: dict[str, float] = {}
 
-    def hit(self, word: str) -> float:
-        if (w := self.known.get(word)) is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[word] = w = self.grammar.weight(word)
+    def __missing__(self, word: str) -> float:
+        w = self.grammar.weight(word) or (TRACE if word in THREATS else 0.0)
+        if len(self) < self.limit:
+            self[word] = w
         return w
 
+
+class Matcher:
+    """The composed transducer."""
+
+    def __init__(self, grammar: Grammar, limit: int = 300_000):
+        self.known = Weights(grammar, limit)
+
     def clause(self, words: list[str], hits: list[tuple[int, float]]) -> float:
         """States: what was last seen of each closed class; weights multiply along the path."""
         total = 0.0
@@ -86,7 +92,7 @@ class Matcher:
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         tokens = TOKEN.findall(text.lower())
-        flagged = [i for i, w in enumerate(tokens) if self.hit(w) or w in THREATS]
+        flagged = [i for i, w in enumerate(map(self.known.__getitem__, tokens)) if w]
         if not flagged:
             return 0.0, 0.0, 0.0, 0.0
         clauses, at = [], 0
@@ -98,7 +104,7 @@ class Matcher:
                 last += 1
             hits = []
             while at < len(flagged) and flagged[at] <= last:
-                if w := self.hit(tokens[flagged[at]]):
+                if (w := self.known[tokens[flagged[at]]]) > TRACE:
                     hits.append((flagged[at] - first, w))
                 at += 1
             if c := self.clause(tokens[first : last + 1], hits):

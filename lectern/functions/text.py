@@ -15,9 +15,16 @@ STOPWORDS = tuple(
     in con su per tra fra che chi cui come dove quando perché non si sono è era ho ha hanno""".split()
 )
 # Words about the sources themselves, which say nothing on a claim.
-META = ("passage", "passages", "document", "documents", "source", "sources", "context", "according", "stated", "mentioned", "provided", "documento", "documenti", "fonte", "fonti", "secondo")
+META = tuple(
+    """context passage passages document documents answer answers according provided mentioned stated
+    states state based given text information source sources paragraph section question contesto
+    passaggio documento documenti risposta secondo fornito indicato testo fonte fonti domanda""".split()
+)
 # Words that tell Italian from English.
-ITALIAN = ("il", "lo", "la", "gli", "le", "un", "una", "di", "del", "della", "che", "non", "per", "con", "sono", "è", "come", "quale", "quali", "quanto", "cosa", "dove", "quando", "chi")
+ITALIAN = tuple(
+    """il lo la gli le un una di del della che come quando dove quanto quale quali chi perché
+    non sono è era ha hanno fu nel nella dei delle con per""".split()
+)
 
 
 def _accents() -> tuple[str, str]:

@@ -103,6 +103,19 @@ def similarity(n_u: float, k_u: np.ndarray, n_v: np.ndarray, k_v: np.ndarray) ->
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
+def reaches(n_u: float, k_u: np.ndarray, n_v: np.ndarray, k_v: np.ndarray, j: float) -> np.ndarray:
+    """Whether ``similarity`` is at least j: the likelihood has one maximum, so its slope at j tells."""
+    up, down = (k_u > k_v).sum(1), (k_u < k_v).sum(1)
+    same = k_v.shape[1] - up - down
+    u = n_u / (n_u + n_v)
+    able = j <= np.minimum(u / (1 - u), (1 - u) / u)
+    c = (BASE - 1) / BASE
+    x, y = np.maximum(u - (1 - u) * j, 1e-12), np.maximum(1 - u - u * j, 1e-12)
+    a, b = -np.log1p(-x * c) / np.log(BASE), -np.log1p(-y * c) / np.log(BASE)
+    da, db = -(1 - u) * c / np.log(BASE) / (1 - x * c), -u * c / np.log(BASE) / (1 - y * c)
+    return able & (up * da / a + down * db / b - same * (da + db) / np.maximum(1 - a - b, 1e-12) >= 0)
+
+
 def sketches(df: DataFrame, how: Near, id_col: str, text_col: str) -> DataFrame:
     """id, n, cls (128-bit digest of the set), sketch."""
 
@@ -168,10 +181,12 @@ def full_sets(df: DataFrame, wanted: DataFrame, how: Near, id_col: str, text_col
 def verify(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     """(a, b) candidate pairs, a the leader -> those that are linked. A leader's set travels once for
     each block of its members."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = pairs.join(load, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-    members = dealt.select("a", "block", F.col("b").alias("id")).join(sets, "id").withColumn("lead", F.lit(False))
-    leaders = dealt.select("a", "block", F.col("a").alias("id")).distinct().join(sets, "id").withColumn("lead", F.lit(True))
+    load = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "load")
+    dealt = written(pairs.join(load, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))), "dealt")
+    members = dealt.select("a", "block", F.col("b").alias("id"), F.lit(False).alias("lead"))
+    leaders = dealt.select("a", "block").distinct().select("a", "block", F.col("a").alias("id"), F.lit(True).alias("lead"))
+    # One join for both, so that the sets are shuffled once.
+    both = leaders.unionByName(members).join(sets, "id")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
@@ -179,7 +194,7 @@ def verify(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
         if len(rest):
             n, k = rest.n.to_numpy(), np.stack([np.frombuffer(x, np.uint16) for x in rest.sketch])
             for lead in pdf[pdf.lead].itertuples():
-                close = similarity(lead.n, np.frombuffer(lead.sketch, np.uint16), n, k) >= how.percent / 100 - SLACK
+                close = reaches(lead.n, np.frombuffer(lead.sketch, np.uint16), n, k, how.percent / 100 - SLACK)
                 close &= 100 * np.minimum(n, lead.n) >= how.percent * np.maximum(n, lead.n)
                 mine = np.frombuffer(lead.set, np.uint64)
                 for row in rest[close].itertuples():
@@ -188,7 +203,7 @@ def verify(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
                         found.append((lead.id, row.id))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return leaders.unionByName(members).groupBy("a", "block").applyInPandas(judge, "a bigint, b bigint")
+    return both.groupBy("a", "block").applyInPandas(judge, "a bigint, b bigint")
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -254,8 +269,8 @@ def _rest(opened: DataFrame, sketched: DataFrame, how: Near) -> DataFrame:
             for row in pdf[pdf.asks].itertuples():
                 may = (comp != row.comp) & (100 * np.minimum(n, row.n) >= how.percent * np.maximum(n, row.n))
                 if may.any():
-                    j = similarity(row.n, np.frombuffer(row.sketch, np.uint16), n[may], k[may])
-                    found += [(row.id, i) for i in ids[may][j >= how.percent / 100 - SLACK]]
+                    near = reaches(row.n, np.frombuffer(row.sketch, np.uint16), n[may], k[may], how.percent / 100 - SLACK)
+                    found += [(row.id, i) for i in ids[may][near]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     both = asked.unionByName(others).groupBy("key", "l", "r").applyInPandas(close, "a bigint, b bigint")
@@ -275,7 +290,7 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
     all_bands = written(bands(sketched), "bands")
     shared = written(all_bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key"), "shared")
     buckets = written(all_bands.join(shared, "key").distinct(), "buckets")
-    sets = written(full_sets(df, buckets.select("id").distinct(), how, id_col, text_col).dropDuplicates(["id", "set"]), "sets")
+    sets = written(full_sets(df, buckets.select("id").distinct(), how, id_col, text_col), "sets")
 
     edges, labels = tied, None if tied.isEmpty() else contract(tied)
     for step in range(3):

@@ -133,6 +133,8 @@ def test_sketch_estimates():
         a, b = x[:3000], np.concatenate([x[:n], r.integers(0, 1 << 63, 3000 - n).astype(np.uint64)])
         est = dedup.similarity(3000, dedup.registers(a), np.array([3000]), dedup.registers(b)[None, :])[0]
         assert abs(est - share) < 0.13
+        for j in (est - 0.02, est + 0.02):
+            assert dedup.reaches(3000, dedup.registers(a), np.array([3000]), dedup.registers(b)[None, :], j)[0] == (j < est)
 
 
 def test_repeated_bytes(spark):

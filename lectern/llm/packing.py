@@ -18,7 +18,10 @@ tile it: each id lies in exactly one piece.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,19 @@ from lectern.llm.common import read
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Characters that Python's split takes as white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+
+def _byte_letters() -> list[str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones stand for
+    themselves, the others are numbered from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+BYTES = _byte_letters()
 
 
 @dataclass(frozen=True)
@@ -40,27 +56,47 @@ class Packing:
     window: int = 2048
     open_windows: int = 64
     end_id: int = 1
-    cached_words: int = 200_000
+    cached_words: int = 250_000
 
 
 class WordIds(dict):
     """word -> ids as little-endian unsigned 32-bit bytes. The vocabulary drops white space and no
-    token spans it, so a text's ids are those of its words, one after the other."""
+    token spans it, so a text's ids are those of its words, one after the other; likewise a run of
+    letters and the marks after it are tokens apart, and case is folded. Both kinds of entry are kept
+    up to a bounded number, the words that came first: the frequent ones are among them."""
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.runs = Tokenizer.from_file(path), limit, {}
 
     def encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", ids).tobytes() if LITTLE else b"".join(i.to_bytes(4, "little") for i in ids)
+
+    def letters(self, run: str) -> bytes:
+        """Of letters below U+0250, whose normal form is themselves and whose case folds one by one:
+        the merges alone, without the steps before them."""
+        text = run if run.isascii() else "".join(BYTES[b] for b in run.encode())
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def run(self, run: str, plain: bool) -> bytes:
+        if (ids := self.runs.get(run)) is None:
+            ids = self.letters(run) if plain and LITTLE else self.encode(run)
+            if len(self.runs) < 2 * self.limit and len(run) <= 64:
+                self.runs[run] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
+        letters = word.rstrip(".,;:!?")
+        if letters.isalpha():
+            plain = max(letters) < "\u0250" and "\u0130" not in letters
+            ids = self.run(letters.lower() if plain else letters, plain)
+        else:
+            letters, ids = "", b""
+        if rest := word[len(letters) :]:
+            ids += self.run(rest, False)
+        if len(self) < self.limit and len(word) <= 64:
             self[word] = ids
         return ids
 
@@ -70,6 +106,14 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def word_ids(path: str, limit: int) -> WordIds:
+    """One for all tasks of a worker process."""
+    held = sys.modules.setdefault("_lectern_word_ids", types.ModuleType("_lectern_word_ids"))
+    if getattr(held, "key", None) != (path, limit):
+        held.key, held.words = (path, limit), WordIds(path, limit)
+    return held.words
+
+
 class Packer:
     """Windows of one partition. A piece is (doc, start, length, crc, doc_tokens)."""
 
@@ -141,7 +185,7 @@ def pack(df: DataFrame, how: Packing, id_col: str = "doc_id", text_col: str = "t
     """One row a piece, see SCHEMA. sequence_id: partition * 2^40 + number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(how.tokenizer, how.cached_words)
+        words = word_ids(how.tokenizer, how.cached_words)
         packer = Packer(TaskContext.get().partitionId() << 40, how.window, how.open_windows)
         end = how.end_id.to_bytes(4, "little")
 

@@ -17,8 +17,12 @@ row to learn from everything is ``und``; only the named columns are read.
 from __future__ import annotations
 
 import re
+import sys
+import types
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,7 @@ class Model:
     logp: np.ndarray  # BUCKETS x langs
     scripts: np.ndarray  # scripts x langs: seen in training
     penalty: float = 12.0
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,44 +111,52 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word; one pass, memory in proportion to the words."""
     n, langs = scores.shape
     best = int(scores.sum(0).argmax())
-    # One language is the best path if no stretch of words gains a switch's price by leaving it.
-    gain = np.concatenate([[0.0], np.cumsum(scores.max(1) - scores[:, best])])
-    if (gain - np.minimum.accumulate(gain)).max() <= penalty:
+    if langs == 1:
+        return np.zeros(n, np.int64)
+    # One language is the best path if no stretch of words gains by leaving it: one switch at an end
+    # of the text, two elsewhere.
+    gain = np.concatenate([[0.0], np.cumsum(np.delete(scores, best, 1).max(1) - scores[:, best], dtype=np.float64)])
+    if gain.max() <= penalty and gain[-1] - gain.min() <= penalty and (gain - np.minimum.accumulate(gain)).max() <= 2 * penalty:
         return np.full(n, best)
-    back = np.empty((n, langs), np.int8 if langs < 128 else np.int32)
-    stay = np.arange(langs)
-    v = scores[0].copy()
-    for t in range(1, n):
-        k = int(v.argmax())
-        jump = v[k] - penalty > v
-        back[t] = np.where(jump, k, stay)
-        v = np.where(jump, v[k] - penalty, v) + scores[t]
+    rows = scores.tolist()
+    v, back = rows[0], []
+    for row in rows[1:]:
+        top = max(v)
+        k, jump = v.index(top), top - penalty
+        back.append([k if jump > x else -1 for x in v])
+        v = [(jump if jump > x else x) + s for x, s in zip(v, row, strict=True)]
+    at = v.index(max(v))
     path = np.empty(n, np.int64)
-    path[-1] = int(v.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    path[-1] = at
+    for t in range(n - 2, -1, -1):
+        at = at if back[t][at] < 0 else back[t][at]
+        path[t] = at
     return path
 
 
 class Labeler:
-    """Scores of words are kept for a bounded number of words."""
+    """Scores are kept for a bounded number of words, the first that came: frequent ones are among them."""
 
-    def __init__(self, model: Model, limit: int = 150_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.known: dict[str, int] = {}
-        self.table = np.empty((0, len(model.langs)))
-        self.fresh: list[np.ndarray] = []
+        self.table = np.empty((limit, len(model.langs)), np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.limit:
-            self.known, self.table, new = {}, self.table[:0], list(set(words))
-        if new:
-            start = len(self.table)
-            parts = [word_scores(self.model, new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
-            self.table = np.concatenate([self.table, *parts])
-            self.known.update(zip(new, range(start, start + len(new)), strict=True))
-        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        out = self.table[at]
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh: dict[str, int] = {}
+            where = np.fromiter((fresh.setdefault(words[i], len(fresh)) for i in missing), np.int64, len(missing))
+            names = list(fresh)
+            found = np.concatenate([word_scores(self.model, names[i : i + 20_000]) for i in range(0, len(names), 20_000)])
+            out[missing] = found[where]
+            start = len(self.known)
+            room = min(self.limit - start, len(names))
+            self.table[start : start + room] = found[:room]
+            self.known.update(zip(names[:room], range(start, start + room), strict=True))
+        return out
 
     def batch(self, texts: list) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """Words, scores and path of each text; scores are looked up for a group of texts at once."""
@@ -157,12 +170,20 @@ class Labeler:
                 found = self.scores([w for words in group for w in words]) if size else None
                 at = 0
                 for words in group:
-                    s = found[at : at + len(words)] if words else np.empty((0, len(self.model.langs)))
+                    s = found[at : at + len(words)] if words else np.empty((0, len(self.model.langs)), np.float32)
                     at += len(words)
                     yield words, s, viterbi(s, self.model.penalty) if words else np.empty(0, np.int64)
                 group, size = [], 0
 
 
+def labeler_of(model: Model) -> Labeler:
+    """One for all tasks of a worker process."""
+    held = sys.modules.setdefault("_lectern_labeler", types.ModuleType("_lectern_labeler"))
+    if getattr(held, "key", None) != model.key:
+        held.key, held.labeler = model.key, Labeler(model)
+    return held.labeler
+
+
 def decide(words: list[str], scores: np.ndarray, path: np.ndarray, model: Model) -> tuple[str, float]:
     if not words or not model.langs:
         return "und", 0.0
@@ -177,7 +198,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        labeler = Labeler(model)
+        labeler = labeler_of(model)
         for batch in batches:
             langs, scores, runs = [], [], []
             for words, s, path in labeler.batch([x or "" for x in batch.column(1).to_pylist()]):

@@ -133,7 +133,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     # One cheap pass tells the many texts apart that have nothing to find.
     read_ = df.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    some = F.rlike("t", F.lit("@|[0-9]\\.[0-9]|\\+[0-9]|[0-9](?:[ -]?[0-9]){9}|[0-9a-f]{32}"))
+    some = F.rlike("t", F.lit("@|[0-9]\\.[0-9]|\\+[0-9]|[0-9](?:[ -]?[0-9]){9}|[0-9]{3}\\)[ .-][0-9]{3}[.-][0-9]{4}|[0-9a-f]{32}"))
     none = F.array()
     by_kind = []
     for k, kind in enumerate(PATTERNS):

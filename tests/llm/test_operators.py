@@ -77,6 +77,19 @@ def test_pii(spark):
     assert pii.find(table(spark, [])).count() == 0
 
 
+def test_pii_only_candidate(spark):
+    """A text passes the cheap search whichever kind its only candidate is of, in every form."""
+    alone = [("email", "a@b.c"), ("ip", "10.2.3.4"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("phone", "+1 555 010 9999"), ("secret", "0a" * 16)]
+    alone += [("local_phone", f"{a}555{b}{x}123{y}4567") for a in ("", "(") for b in ("", ")") for x in " .-" for y in ".-"]
+    texts = [(i, f"call {m} now") for i, (_, m) in enumerate(alone)]
+    got = {r.doc_id: {(x.kind, x.s, x.e) for x in r.spans} for r in pii.candidates(table(spark, texts)).collect()}
+    for i, (kind, m) in enumerate(alone):
+        found = re.search(re.sub("\\\\G[|]", "", pii.PATTERNS[kind]), texts[i][1])
+        assert got[i] == ({(kind, found.start(), found.end())} if found else set()), m
+    assert got[len(alone) - 1] == {("local_phone", 5, 19)}
+    assert pii.mask(table(spark, [(1, "call (555) 123-4567 now")])).first().text == "call [LOCAL_PHONE] now"
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts:

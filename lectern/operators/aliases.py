@@ -37,15 +37,20 @@ def names(docs: DataFrame) -> DataFrame:
 def mentions(chunks: DataFrame, known: DataFrame, longest: int = 8) -> DataFrame:
     """chunks(chunk_id, doc_id, text), known(doc_id, alias, exact) -> chunk_id, dst_doc, alias. Runs of
     one to ``longest`` words of the text are joined to the names (an equi-join, whatever the number of
-    names); of overlapping names the longest, then the first, stays."""
-    w = F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
-    held = chunks.select("chunk_id", F.col("doc_id").alias("own"), w.alias("w"))
+    names); a name of more words is joined by its first ``longest`` and then compared whole. Of
+    overlapping names the longest, then the first, stays."""
+    word = F.lit("[\\p{L}\\p{N}_]+")
+    held = chunks.select("chunk_id", F.col("doc_id").alias("own"), F.regexp_extract_all("text", word, F.lit(0)).alias("w"))
     runs = held.select("chunk_id", "own", "w", F.posexplode(F.sequence(F.lit(1), F.size("w"))).alias("i", "one")).filter("size(w) > 0")
     each = runs.select("chunk_id", "own", "i", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("i"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("run")))).alias("x"))
-    flat = each.select("chunk_id", "own", "i", F.col("x.n").alias("n"), F.when(F.col("x.n") > 1, F.lower("x.run")).otherwise(F.col("x.run")).alias("key"))
-    keyed = known.select(F.col("doc_id").alias("dst_doc"), "alias", F.array_join(F.regexp_extract_all("alias", F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)), " ").alias("key"))
-    found = flat.join(keyed, "key").filter("dst_doc <> own")
-    longer = Window.partitionBy("chunk_id").orderBy("i").rowsBetween(-longest, longest)
-    near = F.collect_list(F.struct("i", "n")).over(longer)
-    beaten = F.exists(near, lambda o: (o["i"] < F.col("i") + F.col("n")) & (F.col("i") < o["i"] + o["n"]) & ((o["n"] > F.col("n")) | ((o["n"] == F.col("n")) & (o["i"] < F.col("i")))))
-    return found.withColumn("beaten", beaten).filter("NOT beaten").select("chunk_id", "dst_doc", "alias").distinct()
+    flat = each.select("chunk_id", "own", "i", F.when(F.col("x.n") > 1, F.lower("x.run")).otherwise(F.col("x.run")).alias("key"))
+    named = known.select(F.col("doc_id").alias("dst_doc"), "alias", F.regexp_extract_all("alias", word, F.lit(0)).alias("a"))
+    keyed = named.select("dst_doc", "alias", F.array_join("a", " ").alias("whole"), F.size("a").alias("n"), F.array_join(F.slice("a", 1, longest), " ").alias("key"))
+    found = flat.join(keyed, "key").filter("dst_doc <> own").select("chunk_id", "own", "i", "n", "dst_doc", "alias", "whole")
+    # Only places where a longer name may stand need the text's words again.
+    there = F.lower(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ")) == F.lower("whole")
+    longer = found.filter(F.col("n") > longest).join(held, ["chunk_id", "own"]).filter(there).drop("w")
+    matches = found.filter(F.col("n") <= longest).unionByName(longer).groupBy("chunk_id").agg(F.collect_list(F.struct("i", "n", "dst_doc", "alias")).alias("m"))
+    over = lambda o, x: (o["i"] < x["i"] + x["n"]) & (x["i"] < o["i"] + o["n"]) & ((o["n"] > x["n"]) | ((o["n"] == x["n"]) & (o["i"] < x["i"])))
+    kept = F.filter("m", lambda x: ~F.exists("m", lambda o: over(o, x)))
+    return matches.select("chunk_id", F.explode(kept).alias("x")).select("chunk_id", "x.dst_doc", "x.alias").distinct()

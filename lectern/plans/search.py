@@ -76,16 +76,29 @@ def near_duplicate_first(spark, sf_dir):
     return d.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
 
 
-def contamination_hits(spark, sf_dir):
-    """Documents that hold a benchmark item's whole text: candidates share an 8-word run (an equi-join),
-    then the text is compared."""
-    run = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - 7)), lambda i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(8)), " "))))
-    items = questions(spark, sf_dir).withColumnRenamed("text", "item")
-    keys = items.select("qid", "item", F.xxhash64(F.array_join(F.slice(T.words("item"), 1, 8), " ")).alias("key"))
-    grams = passages(spark, sf_dir).select("doc_id", T.words("text").alias("w")).select("doc_id", F.explode(run(F.col("w"))).alias("key"))
+def contaminated(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """items(qid, item), docs(doc_id, text) -> qid, doc_id where the text holds the whole item, whatever
+    stands beside it. The item's words that its own other characters bound on both sides are whole words
+    of such a text too: candidates share the first eight of these (or all, if fewer; an equi-join), then
+    the text is compared. Items without such a word are a query set compared with every text."""
+    word = "[\\p{L}\\p{N}]"
+    inner = F.slice(F.regexp_extract_all("item", F.lit(f"(?<=[^\\p{{L}}\\p{{N}}]){word}++(?=[^\\p{{L}}\\p{{N}}])"), F.lit(0)), 1, 8)
+    asked = items.filter("item IS NOT NULL").withColumn("inner", inner).withColumn("n", F.size("inner"))
+    keys = asked.filter("n > 0").select("qid", "n", F.xxhash64(F.array_join("inner", " ")).alias("key"))
+    # The run lengths that occur, at most eight numbers.
+    lengths = keys.agg(F.collect_set("n").alias("lengths"))
+    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"{word}++"), F.lit(0)).alias("w")).crossJoin(F.broadcast(lengths))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    grams = words.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size("w")), runs)))).alias("key"))
     found = grams.join(keys.select("qid", "key"), "key").select("qid", "doc_id").distinct()
-    texts = found.join(items, "qid").join(passages(spark, sf_dir), "doc_id")
-    return texts.filter(F.contains("text", F.col("item"))).select("qid", "doc_id")
+    texts = found.join(asked.filter("n > 0").select("qid", "item"), "qid").join(docs.select("doc_id", "text"), "doc_id")
+    short = docs.select("doc_id", "text").crossJoin(F.broadcast(asked.filter("n = 0").select("qid", "item")))
+    return texts.select("qid", "doc_id", "item", "text").unionByName(short).filter(F.contains("text", F.col("item"))).select("qid", "doc_id")
+
+
+def contamination_hits(spark, sf_dir):
+    """Documents that hold a benchmark item's whole text."""
+    return contaminated(questions(spark, sf_dir).withColumnRenamed("text", "item"), passages(spark, sf_dir))
 
 
 ASKED = f"""asked AS (SELECT DISTINCT item_id AS qid, strip_accents(w) AS term FROM (

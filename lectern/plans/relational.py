@@ -177,6 +177,13 @@ def pii_mask(spark, sf_dir):
     return first.select("doc_id", "value", F.concat(F.lit("[EMAIL_"), n.cast("string"), F.lit("]")).alias("placeholder"))
 
 
+def pii_mask_text(spark, sf_dir):
+    """The masked texts, all labels, where pii_mask lists the placeholders of e-mail addresses."""
+    from lectern.operators import pii
+
+    return pii.mask(_docs(spark, sf_dir))
+
+
 def _inline(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
@@ -303,7 +310,7 @@ def numbering_runs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES |= {f.__name__: f for f in (ground_sentences, context_pack, numbering_runs)}
+QUERIES |= {f.__name__: f for f in (ground_sentences, context_pack, numbering_runs, pii_mask_text)}
 SQL["context_pack"] = """WITH RECURSIVE r AS MATERIALIZED (SELECT qid, rank AS k, doc_id, length(text) AS n, text FROM (BM25) JOIN documents USING (doc_id)),
     p AS (SELECT qid, k, doc_id, n, row_number() OVER (PARTITION BY qid ORDER BY k) AS i FROM r),
     w AS (SELECT qid, i, 9000 - least(n, 9000) AS room, least(n, 9000) AS shown, doc_id, false AS stop FROM p WHERE i = 1

@@ -57,6 +57,12 @@ def numbers_canonical(spark, sf_dir):
     return t.groupBy("doc_id").agg(F.countDistinct("num").alias("n_numbers"))
 
 
+def canonical_numbers(spark, sf_dir):
+    """Different numbers of a document in one form, where numbers_canonical counts raw runs of digits."""
+    t = _docs(spark, sf_dir).select("doc_id", F.explode(T.numbers("text")).alias("num"))
+    return t.groupBy("doc_id").agg(F.countDistinct("num").alias("n_numbers"))
+
+
 def language_id(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.italian("text").alias("italian"))
 
@@ -310,7 +316,7 @@ def numbering_runs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES |= {f.__name__: f for f in (ground_sentences, context_pack, numbering_runs, pii_mask_text)}
+QUERIES |= {f.__name__: f for f in (ground_sentences, context_pack, numbering_runs, canonical_numbers, pii_mask_text)}
 SQL["context_pack"] = """WITH RECURSIVE r AS MATERIALIZED (SELECT qid, rank AS k, doc_id, length(text) AS n, text FROM (BM25) JOIN documents USING (doc_id)),
     p AS (SELECT qid, k, doc_id, n, row_number() OVER (PARTITION BY qid ORDER BY k) AS i FROM r),
     w AS (SELECT qid, i, 9000 - least(n, 9000) AS room, least(n, 9000) AS shown, doc_id, false AS stop FROM p WHERE i = 1

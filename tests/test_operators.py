@@ -1,6 +1,7 @@
 """Behaviour of single operators on small inputs of our own."""
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import chunks, links, structure, sync
+from lectern.plans import relational
 
 
 def one(spark, expr, text):
@@ -23,6 +25,22 @@ def test_numbers(spark):
     assert one(spark, T.numbers("t"), "1,234 and 2,5 and 3.10 [4]") == ["1234", "2.5", "3.1"]
 
 
+def test_canonical_numbers(spark, tmp_path):
+    texts = ["1,234.50 and 1234.5 and 1234", "1.234 equals 1234 and 1 234", "3,10 = 3.1 = 3.100, not 31 [4]", "1,234,567 1234567.0", "none", "", None, "10.20.30.40 and 10.2"]
+    r = random.Random(8)
+    texts += ["".join(r.choice("0123,. x") for _ in range(30)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in rows:
+        t = re.sub(r"\[\d{1,2}\]", " ", t or "")
+        t = re.sub(r"(?<=\d),(?=\d{1,2}(?!\d))", ".", re.sub(r"(?<=\d)[,.\s](?=\d{3}(?!\d))", "", t))
+        want[i] = len({n.rstrip("0").rstrip(".") if "." in n else n for n in re.findall(r"\d+(?:\.\d+)?", t)})
+    got = {x.doc_id: x.n_numbers for x in relational.canonical_numbers(spark, str(tmp_path)).collect()}
+    assert got == {i: n for i, n in want.items() if n}
+    assert [want[i] for i in range(4)] == [2, 1, 3, 1]
+
+
 def test_lead(spark):
     assert one(spark, T.lead("t", 2), " a  b\nc ") == "a b ..."
     assert one(spark, T.lead("t", 3), " a  b\nc ") == "a b c"

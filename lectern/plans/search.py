@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,16 +64,30 @@ def hybrid_search(spark, sf_dir):
     return R.hybrid(questions(spark, sf_dir), passages(spark, sf_dir))
 
 
-def hit_at_k(spark, sf_dir):
-    q, d = questions(spark, sf_dir), passages(spark, sf_dir)
-    hits = R.bm25(q, d, 8).join(q.withColumnRenamed("text", "evidence"), "qid").join(d.select("doc_id", "text"), "doc_id")
-    found = hits.groupBy("qid").agg(F.min(F.when(F.contains("text", F.substring("evidence", 1, 60)), F.col("rank"))).alias("first"))
+def _norm(text):
+    """Compatibility forms, case, commas in thousands, minus signs, apostrophes and white space made alike."""
+    if text is None:
+        return None
+    t = re.sub(r"(?<=\d),(?=\d{3})", "", unicodedata.normalize("NFKC", text).lower())
+    return re.sub(r"\s+", " ", t.replace("−", "-").replace("’", "'")).strip()
+
+
+def hit_counts(hits: DataFrame) -> DataFrame:
+    """hits(qid, rank, text, evidence) -> n, hit_1, hit_3, hit_8: a hit holds the whole evidence, both
+    normalised."""
+    norm = F.udf(_norm, "string")
+    found = hits.groupBy("qid").agg(F.min(F.when(F.contains(norm("text"), norm("evidence")), F.col("rank"))).alias("first"))
     return found.agg(
         F.count(F.lit(1)).alias("n"),
         *(F.sum((F.coalesce(F.col("first") <= k, F.lit(False))).cast("bigint")).alias(f"hit_{k}") for k in (1, 3, 8)),
     )
 
 
+def hit_at_k(spark, sf_dir):
+    q, d = questions(spark, sf_dir), passages(spark, sf_dir)
+    return hit_counts(R.bm25(q, d, 8).join(q.withColumnRenamed("text", "evidence"), "qid").join(d.select("doc_id", "text"), "doc_id"))
+
+
 def near_duplicate_first(spark, sf_dir):
     d = passages(spark, sf_dir).select("doc_id", F.sha2(T.norm_key("text"), 256).alias("key"))
     return d.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))

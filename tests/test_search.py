@@ -16,3 +16,10 @@ def test_contamination_finds_whatever_stands_beside(spark):
     want = sorted((q, d) for q, item in items for d, text in docs if item is not None and text is not None and item in text)
     got = search.contaminated(spark.createDataFrame(items, "qid long, item string"), spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_a_hit_holds_the_whole_evidence(spark):
+    evidence = "The long passage counts 1,720 words \u2013 and it\u2019s changed only after its sixtieth character, here"
+    rows = [(1, 1, evidence[:70], evidence), (1, 2, "So: " + evidence.upper().replace("1,720", "1720").replace(" ", "\n") + ".", evidence), (2, 1, evidence[:65] + "other", evidence), (3, 1, "x", "x")]
+    hits = spark.createDataFrame(rows, "qid long, rank int, text string, evidence string")
+    assert tuple(search.hit_counts(hits).first()) == (3, 1, 2, 2)

@@ -218,17 +218,20 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def sample(df: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most_chars: int = 20_000) -> list[tuple[str, str]]:
-    """The bounded training sample: per language the ``per_lang`` rows whose id hashes lowest; whole
-    texts, of which those of over ``most_chars`` characters don't train. The rows are chosen from ids and
-    languages alone, and Spark keeps a language's first rows in each partition before the shuffle, so
-    a language with a third of all rows sends no more than any other."""
+    """The bounded training sample: per language the ``per_lang`` rows whose id hashes lowest, of the
+    texts of at most ``most_chars`` characters; a language that has longer texts only trains on their
+    first ``most_chars``. The rows are chosen from ids, languages and lengths alone, and Spark keeps a
+    language's first rows in each partition before the shuffle, so a language with a third of all rows
+    sends no more than any other."""
     from pyspark.sql import Window
 
     able = df.filter(may & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = able.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"))
-    ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("r") <= per_lang)
-    texts = able.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= most_chars)
-    rows = texts.join(F.broadcast(ranked.select("id", "lang", "h")), "id").select("text", "lang", "h").collect()
+    able = able.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), (F.length(text_col) > most_chars).alias("long"))
+    order = Window.partitionBy("lang").orderBy("long", "h", "id")
+    ranked = able.select("id", "lang", "h", "long").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
+    kept = ranked.withColumn("only", F.min("long").over(Window.partitionBy("lang"))).filter("long = only").select("id", "lang", "h", "long")
+    texts = able.select("id", "long", F.substring("text", 1, most_chars).alias("text"))
+    rows = texts.join(F.broadcast(kept), ["id", "long"]).select("text", "lang", "h").collect()
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text))]
 
 

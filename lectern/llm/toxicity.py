@@ -155,13 +155,16 @@ def score(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, most_chars: int = 20_000) -> list[tuple[str, int]]:
-    """Bounded: per label the rows whose id hashes lowest; texts of over ``most_chars`` don't train.
-    Of an id labelled twice the larger label counts."""
+    """Bounded: per label the rows whose id hashes lowest, of the texts of at most ``most_chars``
+    characters; a label that has longer texts only trains on their first ``most_chars``. Of an id
+    labelled twice the larger label counts."""
     once = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (part(5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = once.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label).select("doc_id", "toxic")
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", (F.length("text") > most_chars).alias("long"))
+    usable = once.join(texts.select("doc_id", "long"), "doc_id").groupBy("doc_id", "toxic").agg(F.min("long").alias("long"))
+    order = Window.partitionBy("toxic").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    ranked = usable.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
+    chosen = ranked.withColumn("only", F.min("long").over(Window.partitionBy("toxic"))).filter("long = only").select("doc_id", "toxic", "long")
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "long"]).select("doc_id", F.substring("text", 1, most_chars).alias("text"), "toxic").collect()
     return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 

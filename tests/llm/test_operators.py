@@ -266,3 +266,16 @@ def test_mixing(spark):
     assert entropy > 0.87 and all(taken[s] <= 3.05 * live[s] for s in live) and abs(sum(taken.values()) - total) < 0.02 * total
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(7), how).collect()))
     assert mixing.mix(df.limit(0), how).count() == 0
+
+
+def test_samples_refill(spark):
+    """Long texts take no short text's place; where there is nothing else, their heads train."""
+    n = 60
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * (2 if i % 4 == 0 else 100), "aa" if i % 2 == 0 else "bb") for i in range(n)], "doc_id long, text string, lang string")
+    got = langid.sample(docs, F.lit(True), per_lang=10, most_chars=50)
+    assert collections.Counter(lang for _, lang in got) == {"aa": 10, "bb": 10}
+    assert all(len(t) <= 5 for t, lang in got if lang == "aa") and all(len(t) == 50 for t, lang in got if lang == "bb")
+    labels = docs.select("doc_id", (F.col("lang") == "aa").cast("int").alias("toxic"))
+    got = toxicity.sample(docs, labels, per_label=10, most_chars=50)
+    assert collections.Counter(y for _, y in got) == {1: 10, 0: 10}
+    assert all(len(t) <= 5 for t, y in got if y == 1) and all(len(t) == 50 for t, y in got if y == 0)

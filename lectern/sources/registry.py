@@ -12,13 +12,14 @@ OFFICE = tuple(office.READERS)
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """path, format, sha, mtime, size, status: ok, unsupported or rejected (wrong magic bytes)."""
+    """path, format, sha, mtime, size, status: ok, unsupported (PDFs among them, which no reader here
+    turns into blocks) or rejected (wrong magic bytes)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     suffix = F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1))
     magic = F.hex(F.substring("content", 1, 4))
     wrong = (suffix.isin(*OFFICE) & (magic != "504B0304")) | ((suffix == "pdf") & (magic != "25504446"))
-    known = suffix.isin(*TEXT, *OFFICE, "pdf")
-    status = F.when(~known, "unsupported").when(wrong, "rejected").otherwise("ok")
+    known = suffix.isin(*TEXT, *OFFICE)
+    status = F.when(wrong, "rejected").when(~known, "unsupported").otherwise("ok")
     return files.select("path", suffix.alias("format"), F.sha2("content", 256).alias("sha"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), status.alias("status"), "content")
 
 

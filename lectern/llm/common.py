@@ -32,9 +32,11 @@ def lower_ascii(text: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where it is
-    unset (tests on one machine), a temporary folder of our own."""
+    unset and all runs on one machine (tests), a temporary folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = spark.conf.get("lectern.test.checkpoint.dir", None)
         if not path:
             path = tempfile.mkdtemp(prefix="lectern-")
@@ -42,13 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it again, so that a
-    lost executor costs a re-read and never a re-computation. Deleted when the session ends."""
+    lost executor costs a re-read and never a re-computation. Deleted when the session ends, or by
+    ``dropped``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    hadoop, system = _folder(spark, path)
+    system.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing is computed from any more; other frames stay."""
+    for table in tables:
+        if path := getattr(table, "_lectern_path", None):
+            hadoop, system = _folder(table.sparkSession, path)
+            system.delete(hadoop, True)

@@ -7,12 +7,16 @@ Bands of registers are bucket keys. Candidates of a bucket are judged by the lik
 registers' three-way comparison given both set sizes (known exactly), and what may reach the
 threshold is verified on full sets.
 
-No stage makes all pairs of a group. Documents with equal sets become one class at once. In a bucket
-each member is compared with one leader; links are contracted to components; buckets whose members
-are in one component are done. A second pass does the same with other leaders. For what is left,
-members outside their bucket's largest component are compared with all members of other components,
-block against block on sketches, so no link between different texts is lost to a cap. With 36 bands
-of 5 registers a pair at 0.8 is missed with probability under 1e-6, at 0.85 under 1e-9.
+No stage makes all pairs of a group. Documents with equal sets become one class at once. Then, in
+each of two passes, a document is compared with one leader only, the member of its buckets that
+has the most company in its own buckets (the source of a group of copies, where it is among them;
+another one in the second pass); links are contracted to components, and buckets whose members are
+in one component are done. What is left in open buckets is narrowed exactly: shingles that occur in one
+component only can link nothing new and come first in an order of all shingles, the others follow
+by frequency; two sets at the threshold share a shingle of the first n - ceil(n * percent / 100) + 1
+of each, so only members that share one of the live shingles there are compared, block against block
+on sketches, and no link between different texts is lost to a cap. With 36 bands of 5 registers a pair
+at 0.8 is missed with probability under 1e-6, at 0.85 under 1e-9.
 
 Everything between stages is a table in the shared folder; components are found by contraction with
 joins and minima, nothing is collected.
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import read, written
+from lectern.llm.common import dropped, read, written
 
 BASE, SCALE = 1.02, 20.0
 ROWS, BANDS = 5, 36
@@ -47,6 +51,10 @@ _B = _draw.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 SLACK = 0.16
 BLOCK = 256
 SKETCH_BLOCK = 1024
+#: Passes with one leader for each document.
+PASSES = 2
+#: Rows of small groups that one call compares.
+CALL_ROWS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -85,8 +93,12 @@ class Shingler:
 def registers(shingles: np.ndarray) -> np.ndarray:
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        least = np.minimum(least, (x[at : at + 2048, None] * _A + _B).min(0))
+    held = np.empty((min(len(x), 512), REGISTERS), np.uint32)
+    for at in range(0, len(x), 512):
+        part = held[: len(x) - at]
+        np.multiply(x[at : at + 512, None], _A, out=part)
+        part += _B
+        np.minimum(least, part.min(0), out=least)
     e = -np.log1p(-(least + 0.5) / 2.0**32) / SCALE
     return np.clip(np.floor(1 - np.log(e) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
@@ -103,8 +115,9 @@ def similarity(n_u: float, k_u: np.ndarray, n_v: np.ndarray, k_v: np.ndarray) ->
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
-def reaches(n_u: float, k_u: np.ndarray, n_v: np.ndarray, k_v: np.ndarray, j: float) -> np.ndarray:
-    """Whether ``similarity`` is at least j: the likelihood has one maximum, so its slope at j tells."""
+def reaches(n_u: float | np.ndarray, k_u: np.ndarray, n_v: np.ndarray, k_v: np.ndarray, j: float) -> np.ndarray:
+    """Whether ``similarity`` is at least j: the likelihood has one maximum, so its slope at j tells. The
+    left side is one set, or one for each on the right."""
     up, down = (k_u > k_v).sum(1), (k_u < k_v).sum(1)
     same = k_v.shape[1] - up - down
     u = n_u / (n_u + n_v)
@@ -157,53 +170,67 @@ def bands(reps: DataFrame) -> DataFrame:
 
 
 def full_sets(df: DataFrame, wanted: DataFrame, how: Near, id_col: str, text_col: str) -> DataFrame:
-    """id, n, set, sketch of the wanted ids; a row for each different text of an id."""
+    """id, n, set of the wanted ids; a row for each different text of an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(how.shingle)
         for batch in batches:
             sets = [shingler.set(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
-                names=["id", "n", "set", "sketch"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "n", "set"],
             )
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     picked = rows.join(wanted, "id", "left_semi")
-    return picked.mapInArrow(run, "id bigint, n bigint, set binary, sketch binary").filter("n > 0")
+    return picked.mapInArrow(run, "id bigint, n bigint, set binary").filter("n > 0")
+
+
+def likely(pairs: DataFrame, sketched: DataFrame, how: Near) -> DataFrame:
+    """The pairs (a, ca, b, cb) that sizes and sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+            k_a, k_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (6, 7))
+            may = reaches(n_a, k_a, n_b, k_b, how.percent / 100 - SLACK) & (100 * np.minimum(n_a, n_b) >= how.percent * np.maximum(n_a, n_b))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "ca", "b", "cb"]).filter(pa.array(may))
+
+    side = lambda x: sketched.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "ca", "b", "cb", "n_a", "n_b", "k_a", "k_b")
+    return both.mapInArrow(run, "a bigint, ca bigint, b bigint, cb bigint").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
-    """(a, b) candidate pairs, a the leader -> those that are linked. A leader's set travels once for
-    each block of its members."""
+    """(a, ca, b, cb) candidate pairs, a the leader -> (a, b), the components of those that are linked on
+    full sets. A leader's set travels once for each block of its members."""
     load = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "load")
     dealt = written(pairs.join(load, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))), "dealt")
-    members = dealt.select("a", "block", F.col("b").alias("id"), F.lit(False).alias("lead"))
-    leaders = dealt.select("a", "block").distinct().select("a", "block", F.col("a").alias("id"), F.lit(True).alias("lead"))
+    members = dealt.select("a", "block", F.col("b").alias("id"), F.col("cb").alias("comp"), F.lit(False).alias("lead"))
+    leaders = dealt.select("a", "block", F.col("a").alias("id"), F.col("ca").alias("comp"), F.lit(True).alias("lead")).distinct()
     # One join for both, so that the sets are shuffled once.
     both = leaders.unionByName(members).join(sets, "id")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int]] = set()
         rest = pdf[~pdf.lead]
-        if len(rest):
-            n, k = rest.n.to_numpy(), np.stack([np.frombuffer(x, np.uint16) for x in rest.sketch])
-            for lead in pdf[pdf.lead].itertuples():
-                close = reaches(lead.n, np.frombuffer(lead.sketch, np.uint16), n, k, how.percent / 100 - SLACK)
-                close &= 100 * np.minimum(n, lead.n) >= how.percent * np.maximum(n, lead.n)
-                mine = np.frombuffer(lead.set, np.uint64)
-                for row in rest[close].itertuples():
-                    both = len(np.intersect1d(mine, np.frombuffer(row.set, np.uint64), assume_unique=True))
+        for lead in pdf[pdf.lead].itertuples():
+            mine = np.frombuffer(lead.set, np.uint64)
+            for row in rest.itertuples():
+                if 100 * min(row.n, lead.n) >= how.percent * max(row.n, lead.n):
+                    # Both are sorted and without repeats.
+                    its = np.frombuffer(row.set, np.uint64)
+                    both = int((mine[np.minimum(np.searchsorted(mine, its), len(mine) - 1)] == its).sum())
                     if 100 * both >= how.percent * (lead.n + row.n - both):
-                        found.append((lead.id, row.id))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                        found.add((lead.comp, row.comp))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    return both.groupBy("a", "block").applyInPandas(judge, "a bigint, b bigint")
+    links = both.groupBy("a", "block").applyInPandas(judge, "a bigint, b bigint").distinct()
+    out = written(links, "links")
+    dropped(load, dealt)
+    return out
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -215,66 +242,128 @@ def contract(edges: DataFrame) -> DataFrame:
     labels = written(graph.select(F.col("a").alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
     while not graph.isEmpty():
         up = written(graph.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p")), "up")
-        twice = up.join(up.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.col("pp").alias("p"))
-        up = written(twice, "twice")
-        left = graph.join(up.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").select("pa", "b")
-        moved = left.join(up.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b").filter("pa <> pb")
+        twice = written(up.join(up.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.col("pp").alias("p")), "twice")
+        left = graph.join(twice.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").select("pa", "b")
+        moved = left.join(twice.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b").filter("pa <> pb")
+        before = graph, labels
         graph = written(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "graph")
-        move = labels.join(up.withColumnRenamed("v", "comp"), "comp", "left")
+        move = labels.join(twice.withColumnRenamed("v", "comp"), "comp", "left")
         labels = written(move.select("id", F.coalesce("p", "comp").alias("comp")), "labels")
+        dropped(up, twice, *before)
     return labels
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """key, id, comp of the buckets whose members are in more than one component."""
-    known = buckets.withColumn("comp", F.col("id")) if labels is None else buckets.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    known = written(known, "known")
-    live = written(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "live")
-    return written(known.join(live, "key"), "open")
+def _open(members: DataFrame) -> DataFrame:
+    """The rows (key, id, comp) of groups whose members are in more than one component."""
+    live = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return written(members.join(live, "key"), "open")
 
 
 def _stars(opened: DataFrame, salt: int) -> DataFrame:
-    """(a, b): each member with its bucket's leader, where they are not in one component yet."""
-    by = F.struct(F.xxhash64("id", F.lit(salt)) if salt else F.lit(0), F.col("id"), F.col("comp"))
-    leads = written(opened.groupBy("key").agg(F.min(by).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.comp").alias("ca")), "leads")
-    return opened.join(leads, "key").filter("comp <> ca").select("a", F.col("id").alias("b")).distinct()
+    """(a, ca, b, cb): each member with one leader of its buckets, of another component. Leaders are those
+    with the most company in the first pass, and hashed among their bucket's members later."""
+    if salt:
+        ranked = opened.withColumn("rank", F.xxhash64("id", F.lit(salt)))
+    else:
+        company = opened.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        mass = opened.select("key", "id").join(company, "key").groupBy("id").agg((-F.sum("m")).alias("rank"))
+        ranked = opened.join(mass, "id")
+    ranked = written(ranked.select("key", "id", "comp", "rank"), "ranked")
+    leads = ranked.groupBy("key").agg(F.min(F.struct("rank", "id", "comp")).alias("l"))
+    asks = ranked.join(leads, "key").filter("comp <> l.comp")
+    chosen = asks.groupBy("id").agg(F.min("l").alias("l"), F.min("comp").alias("cb"))
+    pairs = written(chosen.select(F.col("l.id").alias("a"), F.col("l.comp").alias("ca"), F.col("id").alias("b"), "cb"), "pairs")
+    dropped(ranked)
+    return pairs
+
+
+def _prefixes(opened: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
+    """key, id, comp: the members of open buckets by the live shingles of their sets' prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = np.frombuffer(batch.column(3)[i].as_py(), np.uint64).view(np.int64)
+                same = [np.full(len(s), batch.column(j)[i].as_py()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (*same, s))], names=["id", "comp", "n", "key"])
+
+    members = written(opened.select("id", "comp").distinct(), "members")
+    rows = written(members.join(sets, "id").select("id", "comp", "n", "set").mapInArrow(run, "id bigint, comp bigint, n bigint, key bigint"), "shingles")
+    live = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("key", "c")
+    # Sets of one id have different sizes or, by the digest of the classes, different members; those of
+    # one size are ordered together, so their prefix is taken for each of them.
+    mine = rows.join(live, "key").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_set(F.struct("c", "key"))).alias("live"))
+    several = sets.groupBy("id", "n").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    room = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1
+    take = F.when(F.col("texts") > 1, F.size("live")).otherwise(F.greatest(F.lit(0), room - (F.col("n") - F.size("live"))))
+    kept = mine.join(several, ["id", "n"], "left").select("id", "comp", F.explode(F.slice("live", F.lit(1), take.cast("int"))).alias("x"))
+    out = written(kept.select(F.col("x.key").alias("key"), "id", "comp").distinct(), "prefixes")
+    dropped(members, rows)
+    return out
 
 
 def _rest(opened: DataFrame, sketched: DataFrame, how: Near) -> DataFrame:
-    """(a, b) for what stars left: members outside the bucket's largest component against all members
-    of other components, in blocks, kept where the sketches may reach the threshold."""
+    """(a, ca, b, cb) for what stars left: members outside the group's largest component against all members
+    of other components, kept where the sketches may reach the threshold. A group of up to SKETCH_BLOCK
+    members shares a task's call with others, so that a pair that many groups have is looked at once; a
+    larger group is compared block against block."""
     sizes = written(opened.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")), "sizes")
-    largest = written(
-        sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select(
-            "key",
-            F.col("top.comp").alias("top"),
-            F.ceil(F.col("all") / SKETCH_BLOCK).cast("int").alias("right"),
-            F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / SKETCH_BLOCK)).cast("int").alias("left"),
-        ),
-        "largest",
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select(
+        "key",
+        F.col("top.comp").alias("top"),
+        F.ceil(F.col("all") / SKETCH_BLOCK).cast("int").alias("right"),
+        F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / SKETCH_BLOCK)).cast("int").alias("left"),
     )
-    rows = opened.join(largest, "key").join(sketched.select("id", "n", "sketch"), "id")
+    calls = max(1, -(-opened.count() // CALL_ROWS))
+    rows = opened.join(largest, "key").join(sketched.select("id", "n", "sketch"), "id").withColumn("asks", F.col("comp") != F.col("top"))
     h = F.xxhash64("id")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ("key", "id", "comp", "n", "sketch")
-    asked = rows.filter("comp <> top").select(*cols, F.lit(True).alias("asks"), F.pmod(h, "left").cast("int").alias("l"), spread("right").alias("r"))
-    others = rows.select(*cols, F.lit(False).alias("asks"), spread("left").alias("l"), F.pmod(h, "right").cast("int").alias("r"))
+    none = F.lit(None).cast("bigint")
+    small = rows.filter("right = 1").select(*cols, "asks", F.lit(True).alias("other"), none.alias("g"), F.pmod(F.xxhash64("key"), F.lit(calls)).cast("int").alias("l"), F.lit(0).alias("r"))
+    large = rows.filter("right > 1").withColumn("g", F.col("key"))
+    asked = large.filter("asks").select(*cols, "asks", F.lit(False).alias("other"), "g", F.pmod(h, "left").cast("int").alias("l"), spread("right").alias("r"))
+    others = large.select(*cols, F.lit(False).alias("asks"), F.lit(True).alias("other"), "g", spread("left").alias("l"), F.pmod(h, "right").cast("int").alias("r"))
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        rest = pdf[~pdf.asks]
-        if len(rest):
-            n, comp, ids = rest.n.to_numpy(), rest.comp.to_numpy(), rest.id.to_numpy()
-            k = np.stack([np.frombuffer(x, np.uint16) for x in rest.sketch])
-            for row in pdf[pdf.asks].itertuples():
-                may = (comp != row.comp) & (100 * np.minimum(n, row.n) >= how.percent * np.maximum(n, row.n))
-                if may.any():
-                    near = reaches(row.n, np.frombuffer(row.sketch, np.uint16), n[may], k[may], how.percent / 100 - SLACK)
-                    found += [(row.id, i) for i in ids[may][near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    both = asked.unionByName(others).groupBy("key", "l", "r").applyInPandas(close, "a bigint, b bigint")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pdf = pdf.sort_values("key", kind="stable")
+        who = pdf.groupby(["id", "sketch"], sort=False).ngroup().to_numpy()
+        _, first = np.unique(who, return_index=True)
+        n, ids, comp = (pdf[c].to_numpy()[first] for c in ("n", "id", "comp"))
+        k = np.stack([np.frombuffer(x, np.uint16) for x in pdf.sketch.iloc[first]])
+        asks, other = pdf.asks.to_numpy(bool), pdf.other.to_numpy(bool)
+        cuts = np.flatnonzero(np.diff(pdf.key.to_numpy())) + 1
+        seen, held, size = np.empty(0, np.int64), [], 0
+        for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            mine = who[at:end]
+            i, j = (x.ravel() for x in np.meshgrid(mine[asks[at:end]], mine[other[at:end]], indexing="ij"))
+            keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= how.percent * np.maximum(n[i], n[j]))
+            i, j = i[keep], j[keep]
+            held.append(np.minimum(i, j) * len(n) + np.maximum(i, j))
+            size += len(i)
+            if size > 1 << 20 or end == len(pdf):
+                seen = np.unique(np.concatenate([seen, *held]))
+                held, size = [], 0
+        found = []
+        for at in range(0, len(seen), 1 << 14):
+            i, j = np.divmod(seen[at : at + (1 << 14)], len(n))
+            near = reaches(n[i], k[i], n[j], k[j], how.percent / 100 - SLACK)
+            i, j = i[near], j[near]
+            i, j = np.where(ids[i] <= ids[j], i, j), np.where(ids[i] <= ids[j], j, i)
+            found.append(np.stack([ids[i], comp[i], ids[j], comp[j]], 1))
+        return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 4), np.int64), columns=["a", "ca", "b", "cb"], dtype="int64").drop_duplicates()
+
+    both = small.unionByName(asked).unionByName(others).groupBy("g", "l", "r").applyInPandas(close, "a bigint, ca bigint, b bigint, cb bigint")
+    out = written(both.distinct(), "rest")
+    dropped(sizes)
+    return out
+
+
+def _moved(rows: DataFrame, moves: DataFrame, tag: str) -> DataFrame:
+    """``rows`` with ``comp`` replaced by its component in ``moves`` (id, comp), if it has one."""
+    to = moves.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    rest = [c for c in rows.columns if c != "comp"]
+    return written(rows.join(to, "comp", "left").select(*rest, F.coalesce("to", "comp").alias("comp")), tag)
 
 
 def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,28 +371,42 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
     docs = written(sketches(df, how, id_col, text_col), "sketches")
     able = docs.filter("n > 0 AND id IS NOT NULL")
     # Ids with several texts: their classes meet in the id.
-    classes = written(able.groupBy("cls").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
+    classes = written(able.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
     twice = able.groupBy("id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("id")
-    tied = written(able.join(twice, "id").join(classes, "cls").select(F.col("id").alias("a"), F.col("rep").alias("b")), "tied")
+    tied = able.join(twice, "id").join(classes, "cls").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = able.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"]).groupBy("id", "cls").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     sketched = written(reps, "reps")
     all_bands = written(bands(sketched), "bands")
-    shared = written(all_bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key"), "shared")
+    shared = all_bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
     buckets = written(all_bands.join(shared, "key").distinct(), "buckets")
+    dropped(all_bands)
     sets = written(full_sets(df, buckets.select("id").distinct(), how, id_col, text_col), "sets")
 
-    edges, labels = tied, None if tied.isEmpty() else contract(tied)
-    for step in range(3):
-        opened = _open(buckets, labels)
+    # id, comp of the representatives; at first each is alone, but for the tied ones.
+    labels = _moved(classes.select("rep", F.col("rep").alias("comp")).distinct(), contract(tied), "labels")
+    at = labels.select(F.col("rep").alias("id"), "comp")
+    opened = _open(buckets.join(at, "id").select("key", "id", "comp"))
+    dropped(buckets)
+    for step in range(PASSES + 1):
         if opened.isEmpty():
             break
-        pairs = written(_stars(opened, step) if step < 2 else _rest(opened, sketched, how), "pairs")
-        edges = written(edges.unionByName(verify(pairs, sets, how)), "edges")
-        labels = contract(edges)
-    if labels is None:
-        labels = tied.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    named = written(named.select("cls", F.coalesce("comp", "rep").alias("comp")), "named")
+        if step < PASSES:
+            pairs = _stars(opened, step)
+            candidates = written(likely(pairs, sketched, how), "likely")
+        else:
+            pairs = _open(_prefixes(opened, sets, how))
+            candidates = _rest(pairs, sketched, how)
+        links = verify(candidates, sets, how)
+        moves = contract(links)
+        before = labels, opened
+        labels = _moved(labels, moves, "labels")
+        if step < PASSES:
+            moved = _moved(opened, moves, "moved")
+            opened = _open(moved)
+            dropped(moved)
+        dropped(*before, pairs, candidates, links, moves)
+    dropped(sets)
+    named = written(classes.join(labels, "rep").select("cls", "comp"), "named")
     out = docs.select("id", "n", F.when(F.expr("n > 0 AND id IS NOT NULL"), F.col("cls")).alias("cls")).join(named, "cls", "left")
     comp = F.coalesce("comp", "id")
     return out.select(

@@ -123,8 +123,10 @@ def test_near_duplicates(spark):
     assert dedup.link(table(spark, [])).count() == 0
 
 
-def test_rest_of_buckets(spark):
-    """What two rounds of leaders leave is compared in blocks."""
+@pytest.mark.parametrize("block", [4, 1024])
+def test_rest_of_buckets(spark, monkeypatch, block):
+    """What the leaders leave is compared in blocks, large groups block against block."""
+    monkeypatch.setattr(dedup, "SKETCH_BLOCK", block)
     base = prose(200, 9).split()
     rows = []
     for i in range(12):
@@ -133,9 +135,59 @@ def test_rest_of_buckets(spark):
         s = dedup.Shingler(3).set(" ".join(w))
         rows.append((i, len(s), bytearray(dedup.registers(s).tobytes())))
     sk = spark.createDataFrame(rows, "id long, n long, sketch binary")
-    opened = spark.createDataFrame([(1, i, i // 4) for i in range(12)], "key long, id long, comp long")
-    got = {tuple(r) for r in dedup._rest(opened, sk, dedup.Near(3, 85)).collect()}
-    assert got == {(a, b) for a in range(12) for b in range(a + 1, 12) if a // 4 != b // 4}
+    opened = spark.createDataFrame([(k, i, i // 4) for i in range(12) for k in (1, 2)], "key long, id long, comp long")
+    got = {(r.a, r.ca, r.b, r.cb) for r in dedup._rest(opened, sk, dedup.Near(3, 85)).collect()}
+    assert got == {(a, a // 4, b, b // 4) for a in range(12) for b in range(a + 1, 12) if a // 4 != b // 4}
+
+
+def test_large_group(spark):
+    """2,000 near copies of one text, some of them at the edge of the threshold, against brute force."""
+    r = random.Random(17)
+    base = prose(60, 70).split()
+    texts = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 1, 2, 2, 3))):
+            w[r.randrange(len(w))] = "new%d" % r.randrange(9)
+        texts.append((i, " ".join(w)))
+    grams = [frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)) for w in (t.split() for _, t in texts)]
+    number = {g: k for k, g in enumerate({g for s in grams for g in s})}
+    m = np.zeros((len(texts), len(number)), np.float32)
+    for i, s in enumerate(grams):
+        m[i, [number[g] for g in s]] = 1
+    both = m @ m.T
+    n = m.sum(1)
+    near = 100 * both >= 85 * (n[:, None] + n[None, :] - both)
+    comp = np.arange(len(texts))
+    while True:
+        least = np.where(near, comp[None, :], len(texts)).min(1)
+        if (least == comp).all():
+            break
+        comp = least
+    got = {x.doc_id: x.component_id for x in dedup.link(table(spark, texts), dedup.Near(3, 85)).collect()}
+    assert got == dict(enumerate(comp.tolist())) and len(set(comp)) > 1
+
+
+def test_prefixes_hold_every_link(spark):
+    """Any two linked sets of different components share a live shingle of their prefixes."""
+    r = random.Random(23)
+    texts = []
+    for g in range(6):
+        base = prose(70, 400 + g).split()
+        for _ in range(20):
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = "v%d" % r.randrange(5)
+            texts.append((len(texts), " ".join(w)))
+    sets, _ = brute_components(texts[:0], 3, 85)
+    sets = {i: frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)) for i, w in ((i, t.split()) for i, t in texts)}
+    opened = spark.createDataFrame([(1, i, i) for i, _ in texts], "key long, id long, comp long")
+    held = dedup.full_sets(table(spark, texts), opened.select("id"), dedup.Near(3, 85), "doc_id", "text")
+    keys = collections.defaultdict(set)
+    for x in dedup._prefixes(opened, held, dedup.Near(3, 85)).collect():
+        keys[x.id].add(x.key)
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert links and all(keys[a] & keys[b] for a, b in links)
 
 
 def test_sketch_estimates():

@@ -1,6 +1,7 @@
 """The stages, one after the other, against what plain Python expects of them."""
 
 import random
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -43,3 +44,14 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, ""), name)
         assert docs.count() == 0
+
+
+def test_whole_table(spark):
+    """All stages over a given table, whole; what is packed are documents that the first stage kept."""
+    sf_dir = "/root/testdata/sf0.001"
+    began = time.monotonic()
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert time.monotonic() - began < 120
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).select("doc_id").collect()}
+    assert pieces and {p.doc_id for p in pieces} <= kept

@@ -202,8 +202,7 @@ def test_sketch_estimates():
             assert dedup.reaches(3000, dedup.registers(a), np.array([3000]), dedup.registers(b)[None, :], j)[0] == (j < est)
 
 
-def test_repeated_bytes(spark):
-    texts = EDGE + [(7, "a" * 250), (8, "b" * 199), (9, "xy" * 150), (10, "Q" + LONG[300:900] + "é" + LONG[5000:5150]), (11, LONG[700:1200] + LONG[100:320])]
+def brute_repeats(texts):
     data = [(i, (t or "").encode()) for i, t in texts]
     seen = collections.Counter(b[p : p + 200] for _, b in data for p in range(len(b) - 199))
     want = []
@@ -214,11 +213,61 @@ def test_repeated_bytes(spark):
                 gone[p : p + 200] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone]) if b else b""
         want.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()) if b else 0, hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in suffix.remove(table(spark, texts)).drop("kept").collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def removed(spark, texts):
+    return sorted((tuple(r) for r in suffix.remove(table(spark, texts)).drop("kept").collect()), key=repr)
+
+
+def test_repeated_bytes(spark):
+    texts = EDGE + [(7, "a" * 250), (8, "b" * 199), (9, "xy" * 150), (10, "Q" + LONG[300:900] + "é" + LONG[5000:5150]), (11, LONG[700:1200] + LONG[100:320])]
+    assert removed(spark, texts) == brute_repeats(texts)
     assert suffix.remove(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_repeated_passages(spark, monkeypatch, hot):
+    """A passage with other bytes on both sides in each text; below ``hot`` phrases of a trigger are compared
+    in order, beyond it by digests."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    r = random.Random(5)
+    passage = prose(120, 800)
+    texts = []
+    for i in range(12):
+        a, n = r.randrange(100), r.choice((150, 199, 200, 201, 330))
+        texts.append((i, prose(30, 900 + i) + passage[a : a + n] + prose(30, 950 + i)))
+    assert removed(spark, texts) == brute_repeats(texts)
+
+
+def test_identical_rows_repeat_each_other(spark):
+    texts = [(1, prose(80, 60))] * 200 + [(None, prose(80, 61))] * 2 + [(2, prose(80, 62))]
+    got = removed(spark, texts)
+    assert got == brute_repeats(texts) and len(got) == 203
+
+
+def test_windows_are_compared_by_bytes():
+    """Phrases whose triggers have one hash by chance: the bytes tell them apart."""
+    r = np.random.default_rng(8)
+    base = r.integers(97, 99, 360).astype(np.uint8).tobytes()
+    data, off, cnt = [], [], []
+    for _ in range(40):
+        x = bytearray(base)
+        for _ in range(r.integers(0, 3)):
+            x[r.integers(0, 360)] = 122
+        a, c = int(r.integers(0, 60)), int(r.integers(1, 100))
+        data.append(bytes(x[a : a + c + 199]))
+        off.append(160 - a)
+        cnt.append(c)
+    off, cnt = np.array(off), np.array(cnt)
+    keys = np.array([7, 8] * 20)
+    found = suffix.compare(keys, cnt, off, data)
+    seen = collections.Counter((k, d[j : j + 200], o - j) for k, d, o, c in zip(keys, data, off, cnt) for j in range(c))
+    for i, (k, d, o, c) in enumerate(zip(keys, data, off, cnt)):
+        want = {o - j for j in range(c) if 0 <= o - j <= 160 and seen[k, d[j : j + 200], o - j] > 1}
+        assert set(np.flatnonzero(found[i])) == want
+
+
 def test_packing(spark):
     texts = EDGE + [(i, prose(i * 7, i)) for i in range(20, 60)]
     path = public_tokenizers.path("word_bpe_49k.json")

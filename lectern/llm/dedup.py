@@ -14,8 +14,9 @@ another one in the second pass); links are contracted to components, and buckets
 in one component are done. What is left in open buckets is narrowed exactly: shingles that occur in one
 component only can link nothing new and come first in an order of all shingles, the others follow
 by frequency; two sets at the threshold share a shingle of the first n - ceil(n * percent / 100) + 1
-of each, so only members that share one of the live shingles there are compared, block against block
-on sketches, and no link between different texts is lost to a cap. With 36 bands of 5 registers a pair
+of each. So members that share no live shingle there cannot be linked; those that chains of such shingles
+connect are a family, and its members outside the largest component are compared with the others on full
+sets, in blocks. No link between different texts is lost to a cap. With 36 bands of 5 registers a pair
 at 0.8 is missed with probability under 1e-6, at 0.85 under 1e-9.
 
 Everything between stages is a table in the shared folder; components are found by contraction with
@@ -50,11 +51,10 @@ _B = _draw.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 #: How far the likelihood estimate of a true link may fall short: over 5 standard deviations.
 SLACK = 0.16
 BLOCK = 256
-SKETCH_BLOCK = 1024
 #: Passes with one leader for each document.
 PASSES = 2
-#: Rows of small groups that one call compares.
-CALL_ROWS = 1 << 13
+#: Documents, and shingles of all of them, that one call compares at most.
+FAMILY, SHINGLES = 1024, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def full_sets(df: DataFrame, wanted: DataFrame, how: Near, id_col: str, text_col
 
 
 def likely(pairs: DataFrame, sketched: DataFrame, how: Near) -> DataFrame:
-    """The pairs (a, ca, b, cb) that sizes and sketches do not rule out."""
+    """The pairs (a, ca, b, cb), with b's size n, that sizes and sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,17 +196,17 @@ def likely(pairs: DataFrame, sketched: DataFrame, how: Near) -> DataFrame:
             n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
             k_a, k_b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (6, 7))
             may = reaches(n_a, k_a, n_b, k_b, how.percent / 100 - SLACK) & (100 * np.minimum(n_a, n_b) >= how.percent * np.maximum(n_a, n_b))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "ca", "b", "cb"]).filter(pa.array(may))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5)], names=["a", "ca", "b", "cb", "n"]).filter(pa.array(may))
 
     side = lambda x: sketched.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "ca", "b", "cb", "n_a", "n_b", "k_a", "k_b")
-    return both.mapInArrow(run, "a bigint, ca bigint, b bigint, cb bigint").distinct()
+    return both.mapInArrow(run, "a bigint, ca bigint, b bigint, cb bigint, n bigint").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
-    """(a, ca, b, cb) candidate pairs, a the leader -> (a, b), the components of those that are linked on
+    """(a, ca, b, cb, n) candidate pairs, a the leader -> (a, b), the components of those that are linked on
     full sets. A leader's set travels once for each block of its members."""
-    load = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "load")
+    load = written(pairs.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks")), "load")
     dealt = written(pairs.join(load, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))), "dealt")
     members = dealt.select("a", "block", F.col("b").alias("id"), F.col("cb").alias("comp"), F.lit(False).alias("lead"))
     leaders = dealt.select("a", "block", F.col("a").alias("id"), F.col("ca").alias("comp"), F.lit(True).alias("lead")).distinct()
@@ -302,60 +302,66 @@ def _prefixes(opened: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     return out
 
 
-def _rest(opened: DataFrame, sketched: DataFrame, how: Near) -> DataFrame:
-    """(a, ca, b, cb) for what stars left: members outside the group's largest component against all members
-    of other components, kept where the sketches may reach the threshold. A group of up to SKETCH_BLOCK
-    members shares a task's call with others, so that a pair that many groups have is looked at once; a
-    larger group is compared block against block."""
-    sizes = written(opened.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")), "sizes")
-    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select(
-        "key",
-        F.col("top.comp").alias("top"),
-        F.ceil(F.col("all") / SKETCH_BLOCK).cast("int").alias("right"),
-        F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / SKETCH_BLOCK)).cast("int").alias("left"),
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets without repeats."""
+    alls = np.concatenate([*left, *right])
+    names, where = np.unique(alls, return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    kind = np.float32 if len(alls) < 1 << 24 else np.float64  # counts stay exact
+    order = np.argsort(where, kind="stable")
+    where, row = where[order], row[order]
+    out = np.zeros((len(left), len(right)), kind)
+    for at in range(0, len(names), 4096):
+        i, j = np.searchsorted(where, (at, at + 4096))
+        part = np.zeros((len(left) + len(right), 4096), kind)
+        part[row[i:j], where[i:j] - at] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _rest(opened: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
+    """(a, b), linked components, of what stars left. Documents that live shingles connect are a family;
+    in a family, members outside the largest component are compared with all members of other components
+    on full sets. Small families share calls; a family of more than FAMILY rows or SHINGLES shingles is dealt
+    into blocks, and every two blocks meet."""
+    hubs = opened.groupBy("key").agg(F.min("id").alias("a"))
+    families = contract(opened.join(hubs, "key").select("a", F.col("id").alias("b")).distinct())
+    members = opened.select("id", "comp").distinct().join(families.withColumnRenamed("comp", "family"), "id").join(sets, "id")
+    members = written(members.select("family", "id", "comp", "n", "set"), "members")
+    comps = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    plan = written(
+        comps.groupBy("family").agg(
+            F.max(F.struct("c", "comp")).alias("top"), F.greatest(F.ceil(F.sum("c") / FAMILY), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"), F.sum("n").alias("all")
+        ).select("family", F.col("top.comp").alias("top"), "blocks", "all"),
+        "plan",
     )
-    calls = max(1, -(-opened.count() // CALL_ROWS))
-    rows = opened.join(largest, "key").join(sketched.select("id", "n", "sketch"), "id").withColumn("asks", F.col("comp") != F.col("top"))
-    h = F.xxhash64("id")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ("key", "id", "comp", "n", "sketch")
+    calls = max(1, -(-(plan.agg(F.sum("all")).first()[0] or 0) // SHINGLES))
+    rows = members.join(plan, "family").withColumn("asks", F.col("comp") != F.col("top"))
+    cols = ("family", "id", "comp", "n", "set", "asks")
     none = F.lit(None).cast("bigint")
-    small = rows.filter("right = 1").select(*cols, "asks", F.lit(True).alias("other"), none.alias("g"), F.pmod(F.xxhash64("key"), F.lit(calls)).cast("int").alias("l"), F.lit(0).alias("r"))
-    large = rows.filter("right > 1").withColumn("g", F.col("key"))
-    asked = large.filter("asks").select(*cols, "asks", F.lit(False).alias("other"), "g", F.pmod(h, "left").cast("int").alias("l"), spread("right").alias("r"))
-    others = large.select(*cols, F.lit(False).alias("asks"), F.lit(True).alias("other"), "g", spread("left").alias("l"), F.pmod(h, "right").cast("int").alias("r"))
+    small = rows.filter("blocks = 1").select(*cols, F.lit(0).alias("at"), none.alias("g"), F.pmod(F.xxhash64("family"), F.lit(calls)).cast("int").alias("l"), F.lit(0).alias("r"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    large = rows.filter("blocks > 1").select(*cols, mine.alias("at"), F.col("family").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    large = large.select(*cols, "at", "g", F.least("at", "o").alias("l"), F.greatest("at", "o").alias("r"))
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        who = pdf.groupby(["id", "sketch"], sort=False).ngroup().to_numpy()
-        _, first = np.unique(who, return_index=True)
-        n, ids, comp = (pdf[c].to_numpy()[first] for c in ("n", "id", "comp"))
-        k = np.stack([np.frombuffer(x, np.uint16) for x in pdf.sketch.iloc[first]])
-        asks, other = pdf.asks.to_numpy(bool), pdf.other.to_numpy(bool)
-        cuts = np.flatnonzero(np.diff(pdf.key.to_numpy())) + 1
-        seen, held, size = np.empty(0, np.int64), [], 0
-        for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            mine = who[at:end]
-            i, j = (x.ravel() for x in np.meshgrid(mine[asks[at:end]], mine[other[at:end]], indexing="ij"))
-            keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= how.percent * np.maximum(n[i], n[j]))
-            i, j = i[keep], j[keep]
-            held.append(np.minimum(i, j) * len(n) + np.maximum(i, j))
-            size += len(i)
-            if size > 1 << 20 or end == len(pdf):
-                seen = np.unique(np.concatenate([seen, *held]))
-                held, size = [], 0
-        found = []
-        for at in range(0, len(seen), 1 << 14):
-            i, j = np.divmod(seen[at : at + (1 << 14)], len(n))
-            near = reaches(n[i], k[i], n[j], k[j], how.percent / 100 - SLACK)
-            i, j = i[near], j[near]
-            i, j = np.where(ids[i] <= ids[j], i, j), np.where(ids[i] <= ids[j], j, i)
-            found.append(np.stack([ids[i], comp[i], ids[j], comp[j]], 1))
-        return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 4), np.int64), columns=["a", "ca", "b", "cb"], dtype="int64").drop_duplicates()
-
-    both = small.unionByName(asked).unionByName(others).groupBy("g", "l", "r").applyInPandas(close, "a bigint, ca bigint, b bigint, cb bigint")
-    out = written(both.distinct(), "rest")
-    dropped(sizes)
+        found: set[tuple[int, int]] = set()
+        for _, some in pdf.groupby("family", sort=False):
+            apart = some["at"].nunique() > 1  # two blocks: pairs inside a block meet elsewhere
+            sets_ = [np.frombuffer(x, np.uint64) for x in some["set"]]
+            n, comp, asks, at = some.n.to_numpy(), some.comp.to_numpy(), some.asks.to_numpy(bool), some["at"].to_numpy()
+            i = np.flatnonzero(asks)
+            both = overlaps([sets_[x] for x in i], sets_)
+            near = (100 * both >= how.percent * (n[i][:, None] + n[None, :] - both)) & (comp[i][:, None] != comp[None, :])
+            if apart:
+                near &= at[i][:, None] != at[None, :]
+            x, y = np.nonzero(near)
+            found |= set(zip(comp[i[x]].tolist(), comp[y].tolist(), strict=True))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    links = small.unionByName(large).groupBy("g", "l", "r").applyInPandas(close, "a bigint, b bigint").distinct()
+    out = written(links, "links")
+    dropped(families, members, plan)
     return out
 
 
@@ -393,10 +399,11 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
         if step < PASSES:
             pairs = _stars(opened, step)
             candidates = written(likely(pairs, sketched, how), "likely")
+            links = verify(candidates, sets, how)
+            dropped(candidates)
         else:
             pairs = _open(_prefixes(opened, sets, how))
-            candidates = _rest(pairs, sketched, how)
-        links = verify(candidates, sets, how)
+            links = _rest(pairs, sets, how)
         moves = contract(links)
         before = labels, opened
         labels = _moved(labels, moves, "labels")
@@ -404,7 +411,7 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
             moved = _moved(opened, moves, "moved")
             opened = _open(moved)
             dropped(moved)
-        dropped(*before, pairs, candidates, links, moves)
+        dropped(*before, pairs, links, moves)
     dropped(sets)
     named = written(classes.join(labels, "rep").select("cls", "comp"), "named")
     out = docs.select("id", "n", F.when(F.expr("n > 0 AND id IS NOT NULL"), F.col("cls")).alias("cls")).join(named, "cls", "left")

@@ -125,19 +125,23 @@ def test_near_duplicates(spark):
 
 @pytest.mark.parametrize("block", [4, 1024])
 def test_rest_of_buckets(spark, monkeypatch, block):
-    """What the leaders leave is compared in blocks, large groups block against block."""
-    monkeypatch.setattr(dedup, "SKETCH_BLOCK", block)
-    base = prose(200, 9).split()
+    """What the leaders leave is compared in families, large ones block against block."""
+    monkeypatch.setattr(dedup, "FAMILY", block)
     rows = []
-    for i in range(12):
-        w = list(base)
-        w[i * 15] = f"q{i}"
-        s = dedup.Shingler(3).set(" ".join(w))
-        rows.append((i, len(s), bytearray(dedup.registers(s).tobytes())))
-    sk = spark.createDataFrame(rows, "id long, n long, sketch binary")
-    opened = spark.createDataFrame([(k, i, i // 4) for i in range(12) for k in (1, 2)], "key long, id long, comp long")
-    got = {(r.a, r.ca, r.b, r.cb) for r in dedup._rest(opened, sk, dedup.Near(3, 85)).collect()}
-    assert got == {(a, a // 4, b, b // 4) for a in range(12) for b in range(a + 1, 12) if a // 4 != b // 4}
+    for g in (0, 1):
+        base = prose(200, 9 + g).split()
+        for i in range(12):
+            w = list(base)
+            for j in range(1 + i // 3):
+                w[i * 15 + 3 * j] = f"q{i}"
+            s = dedup.Shingler(3).set(" ".join(w))
+            rows.append((100 * g + i, len(s), bytearray(s.tobytes())))
+    sets = spark.createDataFrame(rows, "id long, n long, set binary")
+    opened = spark.createDataFrame([(k + i // 100, i, i // 4) for i, _, _ in rows for k in (1, 3)], "key long, id long, comp long")
+    got = {tuple(sorted(r)) for r in dedup._rest(opened, sets, dedup.Near(3, 90)).collect()}
+    held = {i: set(np.frombuffer(s, np.uint64).tolist()) for i, _, s in rows}
+    near = {(a // 4, b // 4) for a in held for b in held if a // 4 < b // 4 and 100 * len(held[a] & held[b]) >= 90 * len(held[a] | held[b])}
+    assert got == near and 0 < len(near) < 6
 
 
 def test_large_group(spark):

@@ -194,10 +194,11 @@ def decide(words: list[str], scores: np.ndarray, path: np.ndarray, model: Model)
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score; with ``spans`` also array<struct<first,last,lang>> in words."""
     schema = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<first:bigint,last:bigint,lang:string>>" * spans
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, fixed
+    # Plain values, BUCKETS x languages, fixed: the package need not be on the executors.
+    shared = df.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.scripts, model.penalty, model.key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         labeler = labeler_of(model)
         for batch in batches:
             langs, scores, runs = [], [], []

@@ -338,6 +338,83 @@ def test_toxicity(spark):
     assert toxicity.score(table(spark, texts), toxicity.fit([])).filter("score <> 0").count() == 0
 
 
+def paths(machines, symbols):
+    """Every path through transducers run one after the other: (outputs, weight, accepted)."""
+    if not machines:
+        return [((), 0, True)] if all(s != "dead" for s in symbols) else []
+    found = []
+
+    def walk(state, at, out, weight):
+        if at == len(symbols):
+            if state in machines[0].final:
+                found.append((out, weight))
+            return
+        for i, o, w, to in machines[0].arcs[state]:
+            if i == symbols[at]:
+                walk(to, at + 1, (*out, o), weight + w)
+
+    for start in machines[0].starts:
+        walk(start, 0, (), 0)
+    return [(o, w + more, True) for out, w in found for o, more, _ in paths(machines[1:], out)]
+
+
+def test_clause_weights_against_all_paths():
+    machines = [toxicity.negation(), toxicity.reported(), toxicity.match()]
+    matcher = toxicity.Matcher(toxicity.Grammar())
+    r = random.Random(3)
+    for _ in range(300):
+        clause = [(s, r.choice((50, 190)) if s == "I" else 160 if s == "H" else 0) for s in r.choices("xYNRIIH", k=r.randint(1, 7))]
+        best = 0
+        taken = [i for i, (s, _) in enumerate(clause) if s in "IH"]
+        for mask in range(1 << len(taken)):
+            use = {i for j, i in enumerate(taken) if mask >> j & 1}
+            read = [s if i in use or s not in "IH" else "x" for i, (s, _) in enumerate(clause)]
+            gain = sum(clause[i][1] for i in use)
+            best = max([best, *(gain + w for _, w, _ in paths(machines, read))])
+        assert matcher.clause(clause) == best / 100, clause
+
+
+def test_clauses():
+    matcher = toxicity.Matcher(toxicity.Grammar({"blarg": 1.5}))
+    weigh = lambda text: matcher.clause([matcher.known[w] for w in text.split()])
+    assert weigh("blarg") == weigh("xx blarg xx") == weigh("kill time") == 0  # isolated words
+    assert weigh("you blarg") == weigh("blarg you") == 1.9
+    assert weigh("you xx xx xx xx xx xx blarg") == 1.5
+    assert weigh("you never blarg") == weigh("you not xx xx blarg") == 0.9
+    assert weigh("they said you blarg") == weigh("you blarg xx said") == 1.5
+    assert weigh("kill you") == 1.6 and weigh("never kill you") == 0 and weigh("kill xx xx xx you") == 0
+    assert weigh("said kill you") == 1.2
+    assert matcher.features("You walk. Blarg!")[0] == 0 < matcher.features("You walk, blarg!")[0]
+
+
+def test_executors_without_the_package():
+    """What is sent to executors can be read where the package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark.cloudpickle import dumps
+
+    sent = []
+
+    class Frame:
+        sparkSession = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+
+        def broadcast(self, value):
+            sent.append(value)
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            sent.append(run)
+
+    toxicity.score(Frame(), toxicity.fit([("you bad thing", 1), ("fine", 0)] * 9))
+    langid.predict(Frame(), langid.fit([("the and", "en"), ("le de", "fr")]))
+    for value in sent:
+        subprocess.run([sys.executable, "-c", "import pickle, sys; pickle.loads(sys.stdin.buffer.read()); assert 'lectern' not in sys.modules"], input=dumps(value), cwd="/tmp", check=True, env={"PATH": "/usr/bin"})
+
+
 def test_top_k(spark):
     r = np.random.default_rng(4)
     x = np.concatenate([r.integers(-1024, 1024, (500, 8)), r.integers(-3, 3, (100, 8)) + 500])

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -80,16 +81,76 @@ def test_pii(spark):
 def test_pii_only_candidate(spark):
     """A text passes the cheap search whichever kind its only candidate is of, in every form."""
     alone = [("email", "a@b.c"), ("ip", "10.2.3.4"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("phone", "+1 555 010 9999"), ("secret", "0a" * 16)]
+    alone += [("account", "DE89 3704 0044 0532 0130 00"), ("account", "GB29NWBK60161331926819"), ("name", "Dr. Anna Bell"), ("name", "Herr Weber"), ("address", "12 Long Hill Road")]
     alone += [("local_phone", f"{a}555{b}{x}123{y}4567") for a in ("", "(") for b in ("", ")") for x in " .-" for y in ".-"]
     texts = [(i, f"call {m} now") for i, (_, m) in enumerate(alone)]
     got = {r.doc_id: {(x.kind, x.s, x.e) for x in r.spans} for r in pii.candidates(table(spark, texts)).collect()}
     for i, (kind, m) in enumerate(alone):
-        found = re.search(re.sub("\\\\G[|]", "", pii.PATTERNS[kind]), texts[i][1])
+        found = regex.search(re.sub("\\\\G[|]", "", pii.PATTERNS[kind]), texts[i][1])
         assert got[i] == ({(kind, found.start(), found.end())} if found else set()), m
     assert got[len(alone) - 1] == {("local_phone", 5, 19)}
     assert pii.mask(table(spark, [(1, "call (555) 123-4567 now")])).first().text == "call [LOCAL_PHONE] now"
 
 
+def brute_base(text):
+    """The contract's base spans, by Python's own engine."""
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+    rules = {
+        "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": ("[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": ("[0-9]([\\x20-]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    found = [(m.start(), k, m.end(), kind) for k, (kind, (p, ok)) in enumerate(rules.items()) for m in re.finditer(p, text) if ok(m.group())]
+    return [(kind, s, e) for s, _, e, kind in sorted(found)]
+
+
+def test_pii_base_against_brute_force(spark):
+    """Texts of the pieces that the patterns are made of, and a real table, whole; the digest as well."""
+    r = random.Random(12)
+    pieces = ["@", ".", "a", "B7", "1", "23", "255", "256", "4111 1111 1111 1111", "-", " ", "+", "+1 (", ")", "ü", "\U0001f600", "x@y.z", "\n", "1.2.3.4", "0012"]
+    texts = [(i, "".join(r.choice(pieces) for _ in range(r.randint(1, 40)))) for i in range(400)]
+    texts += [(1000 + x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for x in pii.find(table(spark, texts)).select("doc_id", "base", pii.digest(F.col("base")).alias("d")).collect():
+        want = brute_base(dict(texts)[x.doc_id])
+        assert [(y.kind, y.s, y.e) for y in x.base] == want and x.d == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+
+
+def test_pii_many_spans(spark):
+    text = " ".join(f"u{i}@h.org" for i in range(1000))
+    got = pii.find(table(spark, [(1, text)])).first().base
+    assert [(y.s, y.e) for y in got] == [m.span() for m in re.finditer("[^ ]+", text)]
+
+
+def test_pii_labelers_are_weighed():
+    """Labelers that agree on a hidden truth are told from one that votes by chance."""
+    r = random.Random(4)
+    counts = collections.Counter()
+    for _ in range(4000):
+        truth = r.random() < 0.4
+        votes = [int(truth) if r.random() < a else 1 - int(truth) for a in (0.95, 0.9, 0.5, 0.85)]
+        counts[("secret", *votes, -1, 3)] += 1
+    prob = pii.estimate(sorted((*k, n) for k, n in counts.items()))
+    for (_, a, b, c, d, _, _), p in prob.items():
+        if a == b == d:
+            assert (p > 0.8) == bool(a) and (p < 0.2) == (not a), (a, b, c, d, p)
+
+
+def test_pii_loose_spans(spark):
+    """What labelers agree on is kept, what touches other text and has no context is not."""
+    good = [(i, f"the bearer token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" was sent, write to a{i}@b.org") for i in range(30)]
+    bad = [(100 + i, f"lib/{'0' * 33}{i % 10}/x") for i in range(30)]
+    got = {x.doc_id: {y.kind for y in x.spans} for x in pii.find(table(spark, good + bad)).collect()}
+    assert all("secret" in got[i] for i, _ in good) and not any("secret" in got[i] for i, _ in bad)
+    inside = pii.find(table(spark, [(1, "call +1 (555) 123-4567 now")])).first()
+    assert [y.kind for y in inside.spans] == ["phone"]
+
+
+@pytest.mark.parametrize("run", [lambda d: pii.find(d), lambda d: quality.ledger(d), lambda d: licenses.scan(d), lambda d: suffix.remove(d), lambda d: dedup.link(d)])
+def test_null_ids(spark, run):
+    assert run(table(spark, [(None, None), (None, "some words here"), (None, "some words here"), (1, None)])).count() == 4
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts:

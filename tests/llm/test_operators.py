@@ -491,6 +491,47 @@ def test_top_k(spark):
     assert [r.vec_id for r in odd.filter(knn.usable(F.col("e"))).collect()] == [5]
 
 
+def test_cover_tree_invariants():
+    r = np.random.default_rng(6)
+    shapes = [r.normal(0, 1, (40, 5))[r.integers(0, 40, 900)] * 100 + r.normal(0, d, (900, 5)) for d in (0.5, 5, 40)]
+    shapes += [r.normal(0, 1, (700, 64)), np.ones((200, 3)), np.zeros((1, 4)), np.repeat(r.normal(0, 1, (3, 6)), 100, 0)]
+    depth = 0
+    for x in shapes:
+        order, nodes = knn.cover_tree(x)
+        assert sorted(order) == list(range(len(x))) and (nodes["start"][0], nodes["stop"][0]) == (0, len(x))
+        top = np.sqrt(((x - x[nodes["center"][0]]) ** 2).sum(1)).max()
+        depth = max(depth, nodes["level"].max())
+        for n in nodes:
+            rows = order[n["start"] : n["stop"]]
+            assert np.sqrt(((x[rows] - x[n["center"]]) ** 2).sum(1)).max() <= n["radius"] + 1e-12
+            kids = nodes[n["child"] : n["last"]]
+            if len(kids):
+                assert n["center"] in kids["center"]  # nesting
+                assert kids["start"].min() == n["start"] and kids["stop"].max() == n["stop"] and (kids["stop"] - kids["start"]).sum() == n["stop"] - n["start"]
+                assert (np.sqrt(((x[kids["center"]] - x[n["center"]]) ** 2).sum(1)) <= top / knn.BASE ** n["level"] * (1 + 1e-9)).all()  # covering
+        for level in set(nodes["level"]):
+            c = x[nodes["center"][nodes["level"] == level]]
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) + np.eye(len(c)) * 1e9
+            assert (apart > top / knn.BASE**level * (1 - 1e-9)).all()  # separation
+    assert depth > 3
+
+
+def test_top_k_blocks(spark, monkeypatch):
+    """Many blocks on both sides, repeated vectors and ties, null ids, one query alone in its length."""
+    monkeypatch.setattr(knn, "DATA_BLOCK", 90)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(14)
+    x = np.concatenate([r.integers(-40, 40, (30, 6))[r.integers(0, 30, 400)], r.integers(-1024, 1024, (200, 6))])
+    rows = [(i, [int(y) for y in v]) for i, v in enumerate(x)] + [(700, [5]), (702, [])]
+    data = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    got = sorted(tuple(z) for z in knn.top_k(data.filter("vec_id % 10 = 0"), data, 10).collect())
+    want = []
+    for q in range(0, 600, 10):
+        order = sorted((-int(x[q] @ x[i]), i) for i in range(600) if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 5), "big" if i < 800 else f"s{i % 4}") for i in range(1000)] + [(2000, None, None), (2001, "", "big")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -32,6 +32,16 @@ from pyspark.sql import functions as F
 from lectern.llm.common import read
 
 WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode L); ``WORD`` alone also takes numerals such as ½ or Ⅷ."""
+    found = WORD.findall(text.lower())
+    if found and not "".join(found).isalpha():
+        found = [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+    return found
+
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 
@@ -89,7 +99,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     counts = np.full((BUCKETS, len(langs)), 0.0)
     scripts = np.zeros((len(NAMES), len(langs)), bool)
     for text, lang in rows:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         if words:
             k = langs.index(lang)
             counts[:, k] += np.bincount(buckets(words)[0], minlength=BUCKETS)
@@ -164,7 +174,7 @@ class Labeler:
         size = 0
         for text in [*texts, None]:
             if text is not None:
-                group.append(WORD.findall(text.lower()))
+                group.append(words_of(text))
                 size += len(group[-1])
             if size > 200_000 or text is None:
                 found = self.scores([w for words in group for w in words]) if size else None
@@ -243,4 +253,4 @@ def part(modulus: int, id_col: str = "doc_id") -> Column:
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(sample(docs, part(3) != 1))
-    return predict(docs, model).select("doc_id", (part(3) == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(part(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -21,7 +21,7 @@ The model is fitted on a bounded sample of labelled rows (``per_label``), chosen
 whole texts are scored. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have no clause and get the score of a text without a match;
-repeated rows score alike; without labels of both kinds all scores are 0; other columns are ignored.
+repeated rows score alike; a null id never trains and is not held out; without labels of both kinds all scores are 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,5 +264,5 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     grammar = fit(sample(docs, read(spark, sf_dir, "labels")))
     return score(docs, grammar).select(
-        "doc_id", (part(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", F.coalesce(part(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -377,6 +377,33 @@ def test_language(spark):
     assert [s.lang for s in got[5].spans] == ["en", "fr"] and abs(got[5].spans[1].first - 50) <= 3
 
 
+def test_letters_decide_und(spark):
+    model = langid.fit([("the and of ½", "en"), ("le de un", "fr")])
+    texts = [(1, "½ ² Ⅷ"), (2, "½the"), (None, "le"), (3, "Ⅷ 12 _ ³x")]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(table(spark, texts), model).collect()}
+    assert got[1] == "und" and got[2] == "en" and got[None] == "fr" and got[3] in ("en", "fr")
+
+
+def test_language_against_all_paths():
+    """The label of a text by trying every labelling of its words."""
+    import itertools
+
+    model = langid.fit([("the and of to in that", "en"), ("le de un et la que", "fr"), ("der die das und ist", "de")])
+    model.penalty = 3.0
+    r = random.Random(8)
+    for _ in range(25):
+        words = r.choices("the and of le de un der das und xq ab".split(), k=6)
+        s = langid.word_scores(model, words)
+        best = max(itertools.product(range(3), repeat=6), key=lambda p: sum(s[i, k] for i, k in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:])))
+        (got, scores, path), = langid.Labeler(model).batch([" ".join(words)])
+        total = lambda p: sum(s[i, k] for i, k in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:]))
+        assert total(path) == pytest.approx(total(best), abs=1e-4)
+        letters = collections.Counter()
+        for w, k in zip(words, path):
+            letters[model.langs[k]] += len(w)
+        assert langid.decide(got, scores, path, model) == (max(sorted(letters), key=letters.get), pytest.approx(max(letters.values()) / sum(map(len, words))))
+
+
 def test_viterbi_shortcut():
     r = np.random.default_rng(3)
     for _ in range(60):

@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import dropped, read, written
@@ -424,11 +424,14 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
 def one_of_each(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that stay: one document of each component, and of rows with
     one id the first by its text's hash."""
-    stay = written(link(df, how, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"))
-    held = rows.filter("_id IS NOT NULL").join(stay, F.col("_id") == F.col("_stay"), "left_semi")
-    first = held.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy("_h"))).filter("_r = 1")
-    return first.select("row.*").unionByName(rows.filter("_id IS NULL").select("row.*"))
+    stay = link(df, how, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_h"))
+    texts = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("_h"))
+    stay = written(texts.join(stay, "_id", "left_semi"), "stay")
+    single = rows.join(stay.filter("n = 1").select("_id"), "_id", "left_semi").select("row.*")
+    # Rows of one id are merged as they are read, however many there are.
+    several = rows.join(stay.filter("n > 1").select("_id", "_h"), ["_id", "_h"], "left_semi").groupBy("_id").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(several).unionByName(rows.filter("_id IS NULL").select("row.*"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

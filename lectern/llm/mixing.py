@@ -74,7 +74,7 @@ def mix(df: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str =
         row.alias("row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), "")).cast("bigint").alias("n_tokens"),
-        F.xxhash64(F.lit(how.seed), id_col).alias("h"),
+        F.xxhash64(F.lit(how.seed), id_col, text_col).alias("h"),
         F.xxhash64(id_col, text_col).alias("tie"),
     )
     if not carry:

@@ -579,6 +579,44 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0), how).count() == 0
 
 
+def test_mixing_against_plain_python(spark):
+    """The exponent by plain bisection, passes and prefixes by sorting; Spark only hashes."""
+    r = random.Random(31)
+    rows = [(i, "w " * r.randint(0, 9), "abcd"[min(r.randrange(9), 3)]) for i in range(600)] + [(None, "x y", "a"), (7, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = mixing.Mix(entropy=0.97, repeat=2.5, block_rows=50)
+    hashed = df.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64(F.lit(how.seed), "doc_id", "text").alias("h"), F.xxhash64("doc_id", "text").alias("tie")).collect()
+    by = collections.defaultdict(list)
+    for x in hashed:
+        by[x.source].append((x.h, x.tie, len((x.text or "").split()), x.doc_id))
+    tokens = {s: sum(n for _, _, n, _ in v) for s, v in by.items()}
+    live = {s: n for s, n in tokens.items() if n}
+    total = sum(live.values())
+
+    def fits(alpha):
+        w = {s: (n / total) ** alpha for s, n in live.items()}
+        z = sum(w.values())
+        entropy = -sum(x / z * np.log(x / z) for x in w.values())
+        return entropy >= how.entropy * np.log(len(live)), max(w[s] / z * total / live[s] for s in live) <= how.repeat
+
+    grid = np.linspace(0, 1, 20001)
+    alpha = max([a for a in grid if fits(a)[0]], default=0.0)
+    alpha = max(alpha, min(a for a in grid if fits(a)[1]))
+    found = mixing.exponent(df.select(F.coalesce("source", F.lit("")).alias("source"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), "")).cast("long").alias("t")).groupBy("source").agg(F.sum("t").alias("tokens")), how)
+    assert abs(found - alpha) < 1e-3
+    z = sum(n**found for n in live.values())
+    want = collections.Counter()
+    for s, docs in by.items():
+        quota = int(tokens[s] ** found / z * total) if tokens[s] else 0
+        passes, prefix = divmod(quota, tokens[s]) if tokens[s] else (1, 0)
+        blocks, at = max(1, -(-len(docs) // how.block_rows)), 0
+        for h, tie, n, i in sorted(docs, key=lambda d: (d[0] % blocks, d[0], d[1])):
+            at += n
+            want[i] += passes + (at <= prefix)
+    got = collections.Counter(x.row.doc_id for x in mixing.mix(df, how).collect())
+    assert got == +want
+
+
 def test_samples_refill(spark):
     """Long texts take no short text's place; where there is nothing else, their heads train."""
     n = 60

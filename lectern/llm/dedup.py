@@ -379,9 +379,11 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
     # Ids with several texts: their classes meet in the id.
     classes = written(able.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
     twice = able.groupBy("id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("id")
-    tied = able.join(twice, "id").join(classes, "cls").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    tied = written(able.join(twice, "id").join(classes, "cls").select(F.col("id").alias("a"), F.col("rep").alias("b")), "tied")
     reps = able.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"]).groupBy("id", "cls").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     sketched = written(reps, "reps")
+    docs, full = written(docs.select("id", "n", "cls"), "digests"), docs
+    dropped(full)
     all_bands = written(bands(sketched), "bands")
     shared = all_bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
     buckets = written(all_bands.join(shared, "key").distinct(), "buckets")
@@ -412,7 +414,7 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
             opened = _open(moved)
             dropped(moved)
         dropped(*before, pairs, links, moves)
-    dropped(sets)
+    dropped(sets, sketched)
     named = written(classes.join(labels, "rep").select("cls", "comp"), "named")
     out = docs.select("id", "n", F.when(F.expr("n > 0 AND id IS NOT NULL"), F.col("cls")).alias("cls")).join(named, "cls", "left")
     comp = F.coalesce("comp", "id")
@@ -424,14 +426,16 @@ def link(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: st
 def one_of_each(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that stay: one document of each component, and of rows with
     one id the first by its text's hash."""
-    stay = link(df, how, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    linked = link(df, how, id_col, text_col)
+    gone = written(linked.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_h"))
-    texts = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("_h"))
-    stay = written(texts.join(stay, "_id", "left_semi"), "stay")
-    single = rows.join(stay.filter("n = 1").select("_id"), "_id", "left_semi").select("row.*")
+    texts = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("_h")).filter("n > 1")
+    several = written(texts.select("_id", "_h"), "several")
+    # The ids to leave out are fewer than those that stay; a null id is never among them.
+    single = rows.join(gone, "_id", "left_anti").join(several.select("_id"), "_id", "left_anti").select("row.*")
     # Rows of one id are merged as they are read, however many there are.
-    several = rows.join(stay.filter("n > 1").select("_id", "_h"), ["_id", "_h"], "left_semi").groupBy("_id").agg(F.first("row").alias("row")).select("row.*")
-    return single.unionByName(several).unionByName(rows.filter("_id IS NULL").select("row.*"))
+    first = rows.join(several.join(gone, "_id", "left_anti"), ["_id", "_h"], "left_semi").groupBy("_id").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(first)
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

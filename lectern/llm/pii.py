@@ -11,7 +11,7 @@ probability that a pattern is personal data. A final logistic span classifier is
 probabilities over the same votes and the candidate's length, and decides on all loose candidates;
 candidates of the four base patterns always stay, and loose ones that overlap them are no candidates.
 
-The texts are read once: candidates are written to the shared folder, and both the counting and the
+``find`` reads the texts once: candidates are written to the shared folder, and both the counting and the
 decision read that table.
 
 Defined results: null and empty texts have no span; repeated rows are answered each; an empty table
@@ -247,9 +247,7 @@ def estimate(counts: list[tuple]) -> dict[tuple, float]:
     return out
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_cols: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, base and spans: array<struct<kind,k,s,e>>, sorted by start, then kind."""
-    found = written(candidates(df, id_col, text_col), "pii")
+def _weighed(found: DataFrame) -> dict[tuple, float]:
     patterns = (
         found.filter(F.size("spans") > 0)
         .select(F.explode("spans").alias("x"))
@@ -257,8 +255,13 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_col
         .count()
         .collect()
     )
-    prob = estimate(sorted(tuple(r) for r in patterns))
-    return decided(found, prob, threshold)
+    return estimate(sorted(tuple(r) for r in patterns))
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """doc_id, base and spans: array<struct<kind,k,s,e>>, sorted by start, then kind."""
+    found = written(candidates(df, id_col, text_col), "pii")
+    return decided(found, _weighed(found), threshold)
 
 
 def decided(found: DataFrame, prob: dict[tuple, float], threshold: float = 0.5) -> DataFrame:
@@ -282,7 +285,12 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """``df`` with every span of its text replaced by its kind in brackets; overlapping spans are
     replaced as one, under the first one's kind. Rows and all other columns stay."""
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    spans = find(df.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text").withColumnRenamed("doc_id", "row")
+    # The texts are searched twice, for the counts and for the decision, and whole rows never written.
+    prob = _weighed(candidates(df.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text"))
+    found = candidates(df.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text")
+    # The spans pass through a generator of one row, so that they are computed once for a text.
+    once = found.select("doc_id", F.explode(F.array("spans")).alias("spans"))
+    spans = decided(once, prob).select(F.col("doc_id").alias("row"), F.explode(F.array("spans")).alias("spans"))
     text = F.col(f"row.`{text_col}`")
     state = "struct<at:int,out:array<string>>"
 

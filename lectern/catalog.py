@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.plans import relational, search
+from lectern.plans import relational, scopes, search
 
 
 def queries() -> dict:
-    return {**search.QUERIES, **relational.QUERIES}
+    return {**search.QUERIES, **relational.QUERIES, **scopes.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search.SQL, **relational.SQL}
+    return {**search.SQL, **relational.SQL, **scopes.SQL}

@@ -100,7 +100,7 @@ def boilerplate_lines(spark, sf_dir):
 
 def profile_votes(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    votes = e.select(F.lit("md").alias("format"), F.concat(F.lit("s"), (F.col("user_id") % 97).cast("string")).alias("style"), (F.length("event_type") % 4).cast("bigint").alias("level"), F.lit(1).alias("weight"))
+    votes = e.select(F.lit("md").alias("format"), F.concat(F.lit("s"), (F.col("user_id") % 97).cast("string")).alias("style"), F.when(F.col("event_id") % 10 == 0, 4).otherwise(F.col("user_id") % 97 % 4).cast("bigint").alias("level"), F.lit(1).alias("weight"))
     return structure.learned_levels(votes)
 
 
@@ -243,7 +243,7 @@ SQL = {
     "session_titles": "SELECT conv_id, array_to_string(list_filter(regexp_split_to_array(arg_min(text, turn), '\\s+'), lambda x: x <> '')[1:6], ' ') AS title FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "boilerplate_lines": """SELECT source, line, count(*) AS n_docs FROM (SELECT DISTINCT source, doc_id, regexp_replace(trim(lower(l)), '[0-9]+', '#', 'g') AS line
         FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE line <> '' GROUP BY ALL HAVING count(*) >= 2""",
-    "profile_votes": """WITH v AS (SELECT 's' || (user_id % 97) AS style, (length(event_type) % 4)::BIGINT AS level, count(*) AS w FROM events GROUP BY ALL)
+    "profile_votes": """WITH v AS (SELECT 's' || (user_id % 97) AS style, (CASE WHEN event_id % 10 = 0 THEN 4 ELSE user_id % 97 % 4 END)::BIGINT AS level, count(*) AS w FROM events GROUP BY ALL)
         SELECT 'md' AS format, style, level FROM (SELECT *, sum(w) OVER (PARTITION BY style) AS total,
         row_number() OVER (PARTITION BY style ORDER BY w DESC, level) AS r FROM v) WHERE r = 1 AND total >= 2 AND w * 10 >= total * 8""",
     "sync_diff": f"""WITH d AS (SELECT doc_id, sha256(text) AS sha, n_chars AS size FROM documents),

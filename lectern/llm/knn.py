@@ -4,8 +4,8 @@ Queries and data are dealt into bounded blocks by a hash of the id, and a cover
 each block of either side and written as a table. Level l of a tree has radius R / BASE ** l: its
 centers are farther apart than that (separation), each center stays one on all finer levels
 (nesting), and every point of a node is within the radius of the node's center at its level (covering).
-A node of at most LEAF points, or one that the next level would break into single points, is a
-leaf; each node keeps its measured covering radius.
+A node of at most LEAF points, or one that the next level would break into more than FAN centers or a
+quarter of its points, is a leaf; each node keeps its measured covering radius.
 
 Every query block meets every data block (a stated query set against all rows, in blocks). A pair of
 nodes is pruned when no product between them can reach the worst kth score of the query node's queries;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import read, written
 
-LEAF, BASE = 64, 1.5
+LEAF, FAN, BASE = 64, 256, 1.5
 DATA_BLOCK, QUERY_BLOCK = 16_384, 2_048
 TREE = "dim int, block bigint, size bigint, ids binary, vectors binary, nodes binary"
 #: A node in a tree's table: center, level, rows [start, stop) of the permuted block, children [child, last).
@@ -52,7 +52,7 @@ def cover_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found: list[int] = []  # centers of this level
         fresh = []
         for at in current:
-            rows, most = tree[at]["rows"], max(8, len(tree[at]["rows"]) // 4)
+            rows, most = tree[at]["rows"], min(max(8, len(tree[at]["rows"]) // 4), FAN)
             if len(rows) <= LEAF:
                 continue
             near, owner = far(rows, tree[at]["center"]), np.zeros(len(rows), np.int64)

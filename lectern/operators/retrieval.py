@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from lectern.functions import text as T
 K1, B = 1.2, 0.75
 RRF = 60
 DIMS = 512
+#: Rows of one block of vectors, and of questions.
+VECTORS, QUESTIONS = 16_384, 2_048
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
@@ -73,10 +77,26 @@ def dense(asked: DataFrame, held: DataFrame, k: int = 8) -> DataFrame:
 
 def vector_top_k(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
     """Exact top-k of dense vectors: asked (qid, q array<double>), held (vec_id, v array<double>). The
-    questions are a stated set and are compared with all rows; each task keeps its k best (the window's
-    group limit) before the shuffle."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = held.crossJoin(asked).filter("vec_id <> qid").select("qid", "vec_id", F.round(dot, 6).alias("score"))
+    questions are a stated set and are compared with all rows, block against block, by a matrix product;
+    of each pair of blocks only a question's k best (and what ties with the last) are shuffled."""
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((held, VECTORS), (asked, QUESTIONS)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.col("qid").alias("id"), F.col("q").alias("v"), F.lit(True).alias("asks"), deal("qid", parts).alias("part"), spread(blocks).alias("block"))
+    right = held.select(F.col("vec_id").alias("id"), "v", F.lit(False).alias("asks"), spread(parts).alias("part"), deal("vec_id", blocks).alias("block"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, x = pdf[pdf.asks], pdf[~pdf.asks]
+        if not len(q) or not len(x):
+            return pd.DataFrame({"qid": [], "vec_id": [], "score": []}).astype({"qid": "int64", "vec_id": "int64"})
+        score = np.round(np.stack(q.v.to_list()) @ np.stack(x.v.to_list()).T, 6) + 0.0
+        score[q.id.to_numpy()[:, None] == x.id.to_numpy()[None, :]] = -np.inf
+        least = -np.partition(-score, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        return pd.DataFrame({"qid": q.id.to_numpy()[i], "vec_id": x.id.to_numpy()[j], "score": score[i, j]})
+
+    rows = left.unionByName(right).withColumn("size", F.size("v"))
+    pairs = rows.groupBy("part", "block", "size").applyInPandas(best, "qid bigint, vec_id bigint, score double")
     return top(pairs, "vec_id", k)
 
 

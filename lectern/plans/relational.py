@@ -332,3 +332,23 @@ def _bm25_sql() -> str:
 
 
 SQL["context_pack"] = SQL["context_pack"].replace("(BM25)", f"({_bm25_sql()})")
+SQL["numbering_runs"] = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS idx FROM documents),
+    m AS (SELECT *, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\\p{N}]', '', 'g')) AS digits,
+        len(list_filter(regexp_split_to_array(trim(t), '\\s+'), lambda x: x <> '')) AS n FROM l),
+    h AS (SELECT doc_id, idx, regexp_matches(t, '^([0-9]{1,2}|[A-Z])((\\.[0-9]{1,2}){0,4})[.)]?\\s+[\\p{Lu}0-9"''(]') AND length(t) BETWEEN 1 AND 120 AND m.n <= 14
+        AND NOT regexp_matches(rtrim(t), '[.,;]$') AND letters >= 3 AND letters * 10 >= (letters + digits) * 3 AS hit,
+        regexp_extract(t, '^([0-9]{1,2}|[A-Z])((\\.[0-9]{1,2}){0,4})[.)]?\\s+[\\p{Lu}0-9"''(]', 2) = '' AS flat FROM m),
+    r AS (SELECT *, hit AND flat AS weak, sum(CASE WHEN hit AND flat THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM h),
+    p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run, weak ORDER BY idx) AS k, count(*) OVER (PARTITION BY doc_id, run, weak) AS len FROM r),
+    c AS (SELECT doc_id, count(*) AS n FROM p WHERE hit AND NOT (weak AND k % 2 = 0 AND k < len) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN c.n >= 3 THEN c.n ELSE 0 END::BIGINT AS n FROM documents LEFT JOIN c USING (doc_id)"""
+SQL["chunk_ctx"] = """WITH RECURSIVE s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM documents),
+    e AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, a FROM s),
+    w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(a[i], '\\s+'), lambda x: x <> '') AS g FROM e),
+    c AS (SELECT doc_id, i, g, unnest(range(0, (len(g) + 259) // 260)) AS j FROM w WHERE len(g) > 0),
+    p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k, g[j * 260 + 1:j * 260 + 260] AS g FROM c),
+    r AS (SELECT doc_id, k, 0::BIGINT AS bin, len(g)::BIGINT AS used FROM p WHERE k = 1
+    UNION ALL SELECT p.doc_id, p.k, r.bin + CASE WHEN r.used + len(p.g) > 260 THEN 1 ELSE 0 END,
+        CASE WHEN r.used + len(p.g) > 260 THEN len(p.g) ELSE r.used + len(p.g) END FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1),
+    t AS (SELECT doc_id, bin AS ordinal, string_agg(array_to_string(g, ' '), ' ' ORDER BY k) AS text FROM r JOIN p USING (doc_id, k) GROUP BY ALL)
+    SELECT doc_id, ordinal, sha256(source || ' > ' || lang || chr(10) || t.text) AS ctx_sha FROM t JOIN documents USING (doc_id)"""

@@ -14,6 +14,9 @@ RRF = 60
 DIMS = 512
 #: Rows of one block of vectors, and of questions.
 VECTORS, QUESTIONS = 16_384, 2_048
+#: Rows that a broadcast table may have (terms or ids: some 50 MB); numbers of question vectors that are
+#: sent to all tasks (48 MB); documents multiplied with them at a time.
+SMALL, ENTRIES, DENSE_ROWS = 500_000, 2_000_000, 2_000
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
@@ -31,24 +34,33 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(T.terms("text")).alias("w")).select("qid", F.translate("w", T.ACCENTED, T.PLAIN).alias("term")).distinct()
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for a broadcast if `rows`, a bound of its rows that was counted, is no more than SMALL;
+    else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def bm25(questions: DataFrame, docs: DataFrame, k: int = 8, scope: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score, rank. Frequencies and lengths are of all documents; a scope (doc_id) restricts
     the answer only. Scores are rounded to 6 decimals, ties go to the smaller id.
 
-    Only the questions' terms leave the scan: the semi-join comes before the count."""
+    A document's length travels with its tokens, so texts are cut once for the postings and once for the
+    totals. Only the questions' terms leave the scan, counted before the shuffle; where these terms are
+    few, no join shuffles, and a frequent term is no hot key."""
     asked = query_terms(questions)
-    tokens = docs.select("doc_id", F.explode(T.index_tokens("text")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    found = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = doc_lengths(docs)
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    rows = asked.count()
+    cut = docs.select("doc_id", T.index_tokens("text").alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
+    tokens = cut.select("doc_id", "dl", F.explode("w").alias("term")).join(small(asked.select("term").distinct(), rows), "term", "left_semi")
+    found = tokens.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    totals = doc_lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
     spread = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = spread.join(F.broadcast(totals)).select("term", "avgdl", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
-    per_term = asked.join(weighed, "term").join(found, "term")
+    per_term = found.join(small(asked.join(weighed, "term"), rows), "term")
     if scope is not None:
         per_term = per_term.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
-    scored = per_term.join(lengths, "doc_id").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = per_term.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, "doc_id", k)
 
 
@@ -69,10 +81,54 @@ def hash_embedding(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def dense(asked: DataFrame, held: DataFrame, k: int = 8) -> DataFrame:
-    """Cosine top-k of sparse unit vectors: asked (qid, bucket, weight), held (doc_id, bucket, weight).
-    The join on buckets leaves out the zeros of both sides."""
-    pairs = asked.select("qid", "bucket", F.col("weight").alias("a")).join(held, "bucket")
-    return top(pairs.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("weight")), 6).alias("score")), "doc_id", k)
+    """Cosine top-k of sparse unit vectors: asked (qid, bucket, weight), held (doc_id, bucket, weight). A
+    question and a document without a common bucket are no pair; ties go to the smaller id.
+
+    The questions, up to ENTRIES numbers, are sent to all tasks, which keep k documents a question; more
+    questions than that are joined on buckets."""
+    head = asked.select("qid", "bucket", "weight").limit(ENTRIES + 1).toPandas()
+    if len(head) > ENTRIES:
+        pairs = asked.select("qid", "bucket", F.col("weight").alias("a")).join(held, "bucket")
+        return top(pairs.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("weight")), 6).alias("score")), "doc_id", k)
+    ids, at = np.unique(head.qid.to_numpy("int64"), return_inverse=True)
+    sent = held.sparkSession.sparkContext.broadcast((ids, at, head.bucket.to_numpy("int64"), head.weight.to_numpy("float64")))
+    questions, dims, step = QUESTIONS, DIMS, DENSE_ROWS
+
+    def best(batches):
+        ids, at, bucket, weight = sent.value
+        order = np.argsort(at, kind="stable")
+        at, bucket, weight = at[order], bucket[order], weight[order]
+        kept = (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))  # question, document, score
+        least = np.full(len(ids), -np.inf)
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo : lo + step]
+                docs, x = part.doc_id.to_numpy("int64"), np.zeros((len(part), dims))
+                row = np.repeat(np.arange(len(part)), part.v.map(len))
+                entries = [e for v in part.v for e in v]
+                x[row, [e["bucket"] for e in entries]] = [e["weight"] for e in entries]
+                filled = (x != 0).astype("float32")
+                new = [kept]
+                for first in range(0, len(ids), questions):
+                    a, b = np.searchsorted(at, [first, first + questions])
+                    q = np.zeros((min(questions, len(ids) - first), dims))
+                    q[at[a:b] - first, bucket[a:b]] = weight[a:b]
+                    score = np.round(q @ x.T, 6) + 0.0
+                    met = (q != 0).astype("float32") @ filled.T > 0
+                    i, j = np.nonzero(met & (score >= least[first : first + len(q), None]))
+                    new.append((i + first, docs[j], score[i, j]))
+                who, doc, score = (np.concatenate(c) for c in zip(*new))
+                order = np.lexsort((doc, -score, who))
+                who, doc, score = who[order], doc[order], score[order]
+                rank = np.arange(len(who)) - np.searchsorted(who, who)
+                kept = tuple(c[rank < k] for c in (who, doc, score))
+                last = rank == k - 1
+                least[who[last]] = score[last]
+        if len(kept[0]):
+            yield pd.DataFrame({"qid": ids[kept[0]], "doc_id": kept[1], "score": kept[2]})
+
+    rows = held.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
+    return top(rows.mapInPandas(best, "qid bigint, doc_id bigint, score double"), "doc_id", k)
 
 
 def vector_top_k(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
@@ -111,9 +167,11 @@ def fuse(*ranked: tuple[DataFrame, float]) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(order).cast("bigint")).select("qid", "doc_id", "score", "rank")
 
 
-def drop_repeats(hits: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
-    """The first of hits with one text (case and white space aside) stays; then the first k."""
-    keyed = hits.join(docs.select("doc_id", F.xxhash64(T.norm_key("text")).alias("key")), "doc_id")
+def drop_repeats(hits: DataFrame, docs: DataFrame, k: int = 8, rows: int = SMALL + 1) -> DataFrame:
+    """The first of hits with one text (case and white space aside) stays; then the first k. `rows` is a
+    bound of the number of hits: few are sent to the texts, so that no text is shuffled."""
+    texts = docs.select("doc_id", "text").join(small(hits, rows), "doc_id")
+    keyed = texts.select("qid", "doc_id", "score", "rank", F.xxhash64(T.norm_key("text")).alias("key"))
     first = keyed.withColumn("r", F.row_number().over(Window.partitionBy("qid", "key").orderBy("rank"))).filter("r = 1")
     again = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("bigint"))
     return again.filter(F.col("n") <= k).select("qid", "doc_id", "score", F.col("n").alias("rank"))
@@ -124,4 +182,5 @@ def hybrid(questions: DataFrame, docs: DataFrame, k: int = 8, pool: int = 40) ->
     vectors = hash_embedding(docs)
     asked = hash_embedding(questions, "qid")
     fused = fuse((dense(asked, vectors, pool), 1.0), (bm25(questions, docs, pool), 1.0))
-    return drop_repeats(fused, docs, k)
+    # No question has more than both pools.
+    return drop_repeats(fused, docs, k, 2 * pool * questions.count())

@@ -85,7 +85,8 @@ def hit_counts(hits: DataFrame) -> DataFrame:
 
 def hit_at_k(spark, sf_dir):
     q, d = questions(spark, sf_dir), passages(spark, sf_dir)
-    return hit_counts(R.bm25(q, d, 8).join(q.withColumnRenamed("text", "evidence"), "qid").join(d.select("doc_id", "text"), "doc_id"))
+    hits = R.small(R.bm25(q, d, 8), 8 * q.count())
+    return hit_counts(d.select("doc_id", "text").join(hits, "doc_id").join(q.withColumnRenamed("text", "evidence"), "qid"))
 
 
 def near_duplicate_first(spark, sf_dir):

@@ -46,14 +46,16 @@ def bm25(questions: DataFrame, docs: DataFrame, k: int = 8, scope: DataFrame | N
 
     A document's length travels with its tokens, so texts are cut once for the postings and once for the
     totals. Only the questions' terms leave the scan, counted before the shuffle; where these terms are
-    few, no join shuffles, and a frequent term is no hot key."""
+    few, no join shuffles, and a frequent term is no hot key. The outer explode spares the texts a filter
+    that would cut them again; the join drops its nulls."""
     asked = query_terms(questions)
     rows = asked.count()
     cut = docs.select("doc_id", T.index_tokens("text").alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
-    tokens = cut.select("doc_id", "dl", F.explode("w").alias("term")).join(small(asked.select("term").distinct(), rows), "term", "left_semi")
+    tokens = cut.select("doc_id", "dl", F.explode_outer("w").alias("term")).join(small(asked.select("term").distinct(), rows), "term", "left_semi")
     found = tokens.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     totals = doc_lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    spread = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counted through tf, which is never 0: the shuffled counts are then the same as below, and reused.
+    spread = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = spread.join(F.broadcast(totals)).select("term", "avgdl", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
     per_term = found.join(small(asked.join(weighed, "term"), rows), "term")
@@ -74,7 +76,8 @@ def hash_embedding(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     16; buckets are damped by a square root and normalised."""
     h = F.crc32(F.col("term").cast("binary"))
     signed = F.when(h.bitwiseAND(F.lit(1 << 16)) != 0, F.lit(1)).otherwise(F.lit(-1))
-    sums = docs.select(id_col, F.explode(T.terms("text")).alias("term")).groupBy(id_col, (h % DIMS).alias("bucket")).agg(F.sum(signed).alias("x")).filter("x <> 0")
+    words = docs.select(id_col, F.explode_outer(T.terms("text")).alias("term")).filter("term IS NOT NULL")  # outer: see bm25
+    sums = words.groupBy(id_col, (h % DIMS).alias("bucket")).agg(F.sum(signed).alias("x")).filter("x <> 0")
     damped = sums.withColumn("d", F.signum("x") * F.sqrt(F.abs("x")))
     norm = F.sqrt(F.sum(F.col("d") * F.col("d")).over(Window.partitionBy(id_col)))
     return damped.select(id_col, "bucket", (F.col("d") / norm).alias("weight"))

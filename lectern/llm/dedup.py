@@ -15,8 +15,9 @@ in one component are done. What is left in open buckets is narrowed exactly: shi
 component only can link nothing new and come first in an order of all shingles, the others follow
 by frequency; two sets at the threshold share a shingle of the first n - ceil(n * percent / 100) + 1
 of each. So members that share no live shingle there cannot be linked; those that chains of such shingles
-connect are a family, and its members outside the largest component are compared with the others on full
-sets, in blocks. No link between different texts is lost to a cap. With 36 bands of 5 registers a pair
+connect are a family, and the members of a small one outside its largest component are compared with the
+others on full sets. Large families grow with the input, so theirs are narrowed again, to pairs: see
+``_narrowed``. No link between different texts is lost to a cap. With 36 bands of 5 registers a pair
 at 0.8 is missed with probability under 1e-6, at 0.85 under 1e-9.
 
 Everything between stages is a table in the shared folder; components are found by contraction with
@@ -55,6 +56,8 @@ BLOCK = 256
 PASSES = 2
 #: Documents, and shingles of all of them, that one call compares at most.
 FAMILY, SHINGLES = 1024, 4_000_000
+#: Pairs of a large family that are compared one by one, for each set that a comparison in blocks would move.
+SPARSE = 4
 
 
 @dataclass(frozen=True)
@@ -319,11 +322,110 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _cohorts(opened: DataFrame) -> DataFrame:
+    """id, cohort: the member with the most company among those an id shares keys with, or that one's own."""
+    company = opened.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    mass = opened.join(company, "key").groupBy("id").agg(F.sum("m").alias("mass"))
+    ranked = written(opened.join(mass, "id").select("key", "id", "mass"), "ranked")
+    best = ranked.groupBy("key").agg(F.max(F.struct("mass", "id")).alias("l"))
+    follows = written(ranked.join(best, "key").groupBy("id").agg(F.max("l")["id"].alias("cohort")), "follows")
+    out = written(follows.join(follows.select(F.col("id").alias("cohort"), F.col("cohort").alias("to")), "cohort").select("id", F.col("to").alias("cohort")), "cohorts")
+    dropped(ranked, follows)
+    return out
+
+
+def _flipped(rows: DataFrame) -> DataFrame:
+    """The rows (family, cohort, id, comp, n, set) with, for the set, the keys in which it differs from its
+    cohort's center, the shingles of more than half of the cohort."""
+    kind = "family bigint, cohort bigint, id bigint, comp bigint, n bigint, h bigint, keys array<bigint>"
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = np.frombuffer(batch.column(1)[i].as_py(), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(s)], names=["cohort", "key"])
+
+    def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for s, center in zip(batch.column(6), batch.column(7), strict=True):
+                mine = np.frombuffer(s.as_py(), np.uint64).view(np.int64)
+                keys.append(np.setxor1d(mine, np.array(center.as_py() or [], np.int64), assume_unique=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(keys, pa.list_(pa.int64()))], names=["family", "cohort", "id", "comp", "n", "h", "keys"])
+
+    sizes = rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("rows"))
+    counts = rows.select("cohort", "set").mapInArrow(spread, "cohort bigint, key bigint").groupBy("cohort", "key").agg(F.count(F.lit(1)).alias("c"))
+    centers = counts.join(sizes, "cohort").filter("2 * c > rows").groupBy("cohort").agg(F.collect_list("key").alias("center"))
+    both = rows.join(centers, "cohort", "left").select("family", "cohort", "id", "comp", "n", F.xxhash64("set").alias("h"), "set", "center")
+    return written(both.mapInArrow(flip, kind), "flipped")
+
+
+def _narrowed(opened: DataFrame, members: DataFrame, most: DataFrame, how: Near) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the rows (family, id, comp, n, set): (a, b), components linked for certain; (family, a, ca, b, cb), the
+    pairs to compare; and the families left out of these pairs, whose keys bring together more rows than ``most``
+    (family, most) allows. Any two linked ids of different components share a key of ``opened``.
+
+    Members of different cohorts are a pair if they share such a key. Members of one cohort are mostly copies of
+    one text and share most keys, so there the keys are those in which a set differs from the cohort's center.
+    With d such keys and q = (100 - percent) / (100 + percent), a set has the weight w = (d - q * n) / 2; the
+    symmetric difference of linked sets is at most q * (n + n'), so they share at least w + w' keys. Where that
+    is not positive, each is linked with the member of least weight, by the triangle inequality. Other pairs
+    share a key of the first d - max(1, 2 * w) + 1 of the lighter one and of the first d - max(1, w + low) + 1 of
+    the heavier one, where low is a bound on the lighter one's weight, and have enough keys after it."""
+    p, up, down = how.percent, 100 + how.percent, 100 - how.percent
+    cohorts = _cohorts(opened)
+    flat = _flipped(members.join(cohorts, "id").select("family", "cohort", "id", "comp", "n", "set"))
+    heavy = flat.withColumn("d", F.size("keys").cast("bigint")).withColumn("w", up * F.col("d") - down * F.col("n"))  # 2 * up times the weight
+    least = heavy.groupBy("cohort").agg(F.min(F.struct("w", "comp")).alias("l"))
+    heavy = heavy.join(least, "cohort")
+    sure = heavy.filter("w + l.w <= 0 AND comp <> l.comp").select(F.col("l.comp").alias("a"), F.col("comp").alias("b"))
+
+    who = ["family", "cohort", "id", "h", "comp", "n", "d", "w"]
+    rows = heavy.select(*who, F.col("l.w").alias("lw"), F.explode("keys").alias("key"))
+    live = rows.groupBy("cohort", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("cohort", "key", "c")
+    mine = rows.join(live, ["cohort", "key"]).groupBy(*who, "lw").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("live"))
+    # Keys of one component come first: they can link nothing.
+    dead = F.col("d") - F.size("live")
+    low = F.greatest("lw", F.col("w") - 2 * down * F.floor(100 * F.col("n") / p))
+    short = F.col("d") - F.greatest(F.lit(1), F.ceil(F.col("w") / up)) + 1
+    long = F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("w") + low) / (2 * up))) + 1
+    kept = mine.select(*who, dead.alias("dead"), short.alias("short"), F.posexplode(F.slice("live", F.lit(1), F.greatest(F.lit(0), long - dead).cast("int"))).alias("i", "x"))
+    within = written(kept.select(*who, F.col("x.key").alias("key"), (F.col("i") + F.col("dead")).alias("pos"), (F.col("i") + F.col("dead") < F.col("short")).alias("asks")), "within")
+
+    at = written(opened.join(cohorts, "id").join(members.select("family", "id").distinct(), "id"), "at")
+    groups = at.groupBy("family", "key", "cohort").agg(F.count(F.lit(1)).alias("c")).groupBy("family", "key")
+    tops = written(groups.agg(F.max(F.struct("c", "cohort")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("family", "key", "top", "c"), "tops")
+    met = tops.select("family", ((F.col("c") - F.col("top.c")) * F.col("c")).alias("met"))
+    met = met.unionByName(within.groupBy("family", "cohort", "key").agg((F.sum(F.col("asks").cast("bigint")) * F.count(F.lit(1))).alias("met")).select("family", "met"))
+    dense = met.groupBy("family").agg(F.sum("met").alias("met")).join(most, "family").filter("met > most").select("family")
+    dense = written(dense, "dense")
+
+    side = lambda x, *more: [F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", *more)]
+    few = within.join(dense, "family", "left_anti")
+    fine = ("n", "d", "w", "pos")
+    inside = few.filter("asks").select("family", "cohort", "key", *side("a", *fine)).join(few.select("family", "cohort", "key", *side("b", *fine)), ["family", "cohort", "key"])
+    need = F.greatest(F.lit(1), F.ceil((F.col("w_a") + F.col("w_b")) / (2 * up)))
+    inside = inside.filter(
+        (F.col("comp_a") != F.col("comp_b")) & (F.col("w_a") <= F.col("w_b")) & (F.least(F.col("d_a") - F.col("pos_a"), F.col("d_b") - F.col("pos_b")) >= need)
+        & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
+    )
+    few = at.join(tops.join(dense, "family", "left_anti"), ["family", "key"]).select("family", "key", "id", "comp", "cohort", F.col("top.cohort").alias("top"))
+    across = few.filter("cohort <> top").select("family", "key", *side("a", "cohort")).join(few.select("family", "key", *side("b", "cohort")), ["family", "key"])
+    across = across.filter("comp_a <> comp_b AND cohort_a <> cohort_b")
+    cols = ("family", "id_a", "comp_a", "id_b", "comp_b")
+    pick = lambda a, b: F.when(F.col("id_a") < F.col("id_b"), F.col(a)).otherwise(F.col(b))
+    both = inside.select(*cols).unionByName(across.select(*cols))
+    pairs = both.select("family", pick("id_a", "id_b").alias("a"), pick("comp_a", "comp_b").alias("ca"), pick("id_b", "id_a").alias("b"), pick("comp_b", "comp_a").alias("cb")).distinct()
+    sure, pairs = written(sure.distinct(), "sure"), written(pairs, "narrowed")
+    dropped(cohorts, flat, within, at, tops)
+    return sure, pairs, dense
+
+
 def _rest(opened: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     """(a, b), linked components, of what stars left. Documents that live shingles connect are a family;
     in a family, members outside the largest component are compared with all members of other components
-    on full sets. Small families share calls; a family of more than FAMILY rows or SHINGLES shingles is dealt
-    into blocks, and every two blocks meet."""
+    on full sets. Small families share calls; a family of more than FAMILY rows or SHINGLES shingles is narrowed
+    to pairs. Where these would be more than a comparison of all, it is dealt into blocks, and every two blocks meet."""
     hubs = opened.groupBy("key").agg(F.min("id").alias("a"))
     families = contract(opened.join(hubs, "key").select("a", F.col("id").alias("b")).distinct())
     members = opened.select("id", "comp").distinct().join(families.withColumnRenamed("comp", "family"), "id").join(sets, "id")
@@ -331,17 +433,31 @@ def _rest(opened: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     comps = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
     plan = written(
         comps.groupBy("family").agg(
-            F.max(F.struct("c", "comp")).alias("top"), F.greatest(F.ceil(F.sum("c") / FAMILY), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"), F.sum("n").alias("all")
-        ).select("family", F.col("top.comp").alias("top"), "blocks", "all"),
+            F.max(F.struct("c", "comp")).alias("top"), F.greatest(F.ceil(F.sum("c") / FAMILY), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"), F.sum("n").alias("all"),
+            F.sum("c").alias("rows"), (F.sum("c") * (F.sum("c") - F.max("c"))).alias("most"),
+        ).select("family", F.col("top.comp").alias("top"), "blocks", "all", "rows", "most"),
         "plan",
     )
+    wide = plan.filter("blocks > 1").select("family", "blocks", "rows", "most")
+    found, used, dense = [], [], None
+    if not wide.isEmpty():
+        theirs = families.withColumnRenamed("comp", "family").join(wide.select("family"), "family").select("id")
+        some = written(members.join(wide.select("family"), "family"), "wide")
+        sure, pairs, crowded = _narrowed(opened.join(theirs, "id").select("key", "id", "comp"), some, wide.select("family", "most"), how)
+        many = pairs.groupBy("family").agg(F.count(F.lit(1)).alias("pairs")).join(wide, "family").filter(F.col("pairs") > SPARSE * F.col("rows") * F.col("blocks"))
+        dense = written(crowded.unionByName(many.select("family")), "dense")
+        sizes = some.groupBy("id").agg(F.sum("n").alias("n"))
+        asked = pairs.join(dense, "family", "left_anti").join(sizes.withColumnRenamed("id", "b"), "b").select("a", "ca", "b", "cb", "n")
+        found = [sure, verify(asked, some.select("id", "n", "set"), how)]
+        used = [some, pairs, crowded, dense, *found]
     calls = max(1, -(-(plan.agg(F.sum("all")).first()[0] or 0) // SHINGLES))
     rows = members.join(plan, "family").withColumn("asks", F.col("comp") != F.col("top"))
     cols = ("family", "id", "comp", "n", "set", "asks")
     none = F.lit(None).cast("bigint")
     small = rows.filter("blocks = 1").select(*cols, F.lit(0).alias("at"), none.alias("g"), F.pmod(F.xxhash64("family"), F.lit(calls)).cast("int").alias("l"), F.lit(0).alias("r"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    large = rows.filter("blocks > 1").select(*cols, mine.alias("at"), F.col("family").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    large = rows.filter("blocks > 1") if dense is None else rows.join(dense, "family", "left_semi")
+    large = large.select(*cols, mine.alias("at"), F.col("family").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     large = large.select(*cols, "at", "g", F.least("at", "o").alias("l"), F.greatest("at", "o").alias("r"))
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -359,9 +475,11 @@ def _rest(opened: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
             found |= set(zip(comp[i[x]].tolist(), comp[y].tolist(), strict=True))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
-    links = small.unionByName(large).groupBy("g", "l", "r").applyInPandas(close, "a bigint, b bigint").distinct()
-    out = written(links, "links")
-    dropped(families, members, plan)
+    links = small.unionByName(large).groupBy("g", "l", "r").applyInPandas(close, "a bigint, b bigint")
+    for more in found:
+        links = links.unionByName(more)
+    out = written(links.distinct(), "links")
+    dropped(families, members, plan, *used)
     return out
 
 

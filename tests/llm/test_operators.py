@@ -205,6 +205,54 @@ def test_rest_of_buckets(spark, monkeypatch, block):
     assert got == near and 0 < len(near) < 6
 
 
+@pytest.mark.parametrize(("sparse", "edits"), [(4, (8, 30)), (0, (8, 30)), (4, (0, 9))])
+def test_large_family_is_narrowed(spark, monkeypatch, sparse, edits):
+    """A family beyond FAMILY is compared by pairs that are far fewer than all, and no link is lost: copies of
+    two texts, copies of those copies, and texts made of halves of both that hold the family together."""
+    monkeypatch.setattr(dedup, "FAMILY", 32)
+    monkeypatch.setattr(dedup, "SPARSE", sparse)
+    r = random.Random(31)
+    bases = [prose(240, 71).split(), prose(240, 72).split()]
+    bases += [bases[0][:120] + bases[1][:120], bases[1][120:] + bases[0][120:]]
+    texts = []
+    for base, copies in zip(bases, (120, 60, 12, 12), strict=True):
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randint(*edits)):
+                w[r.randrange(len(w))] = "e%d" % r.randrange(10**6)
+            texts.append(w)
+            if r.random() < 0.2:  # a copy of the copy, near the threshold
+                w = list(w)
+                for _ in range(r.randint(1, 7)):
+                    w[r.randrange(len(w))] = "c%d" % r.randrange(10**6)
+                texts.append(w[: r.randint(225, 240)])
+    sets = {i: frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)) for i, w in enumerate(texts)}
+    links = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) > 20
+
+    def groups(edges):
+        comp = {i: i for i in sets}
+        while moved := [(a, b) for a, b in edges if comp[a] != comp[b]]:
+            for a, b in moved:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        return comp
+
+    how = dedup.Near(3, 85)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    each = spark.createDataFrame([(1, i, i) for i in sets], "key long, id long, comp long")
+    held = dedup.written(dedup.full_sets(table(spark, rows), each.select("id"), how, "doc_id", "text"), "held")
+    opened = dedup._open(dedup._prefixes(each, held, how))
+    assert groups([tuple(x) for x in dedup._rest(opened, held, how).collect()]) == groups(links)
+    if sparse and edits[0]:
+        some = held.select(F.lit(0).cast("long").alias("family"), "id", F.col("id").alias("comp"), "n", "set")
+        most = spark.createDataFrame([(0, len(rows) ** 2)], "family long, most long")
+        sure, pairs, crowded = dedup._narrowed(opened, some, most, how)
+        assert crowded.isEmpty() and 0 < pairs.count() < len(rows) ** 2 / 20
+        asked = {(x.a, x.b) for x in pairs.collect()}
+        comp = groups([tuple(x) for x in sure.collect()])
+        assert all((b, a) in asked or comp[a] == comp[b] for a, b in links)
+
+
 def test_large_group(spark):
     """2,000 near copies of one text, some of them at the edge of the threshold, against brute force."""
     r = random.Random(17)

@@ -284,3 +284,29 @@ def summed(rows: DataFrame, centroids: list[list[int]]) -> DataFrame:
 def op13_centroid_clustering(spark, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return summed(*cluster(rows))
+
+
+def op13_sql(how: Lloyd | None = None) -> str:
+    """The rounds written one after the other."""
+    how = how or Lloyd()
+    dot = lambda a, b: f"list_dot_product({a}, {b})"
+    assigned = lambda r: (
+        f"a{r} AS MATERIALIZED (SELECT rid, vec_id, v.e, c, ({dot('v.e', 'v.e')} - 2 * {dot('v.e', 'k.e')} + {dot('k.e', 'k.e')})::BIGINT AS d FROM v, c{r} k "
+        f"QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"
+    )
+    moved = lambda r: (
+        f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.e, k.e) AS e FROM c{r} k LEFT JOIN (SELECT c, list(floor_of ORDER BY i) AS e FROM (SELECT c, i, "
+        f"((s - ((s % n) + n) % n) // n)::DOUBLE AS floor_of FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM "
+        f"(SELECT c, unnest(e)::BIGINT AS x, unnest(range(len(e))) AS i FROM a{r}) GROUP BY c, i)) GROUP BY c) m USING (c))"
+    )
+    steps = ",\n".join(f"{assigned(r)},\n{moved(r)}" for r in range(how.rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({how.scale} * x::DOUBLE)) AS e FROM embeddings
+    WHERE len(embedding) = {how.dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h NULLS LAST, e) - 1)::INTEGER AS c, e
+    FROM (SELECT sha256('{how.salt}:' || vec_id::VARCHAR) AS h, e FROM v ORDER BY h NULLS LAST, e LIMIT {how.k})),
+{steps},
+{assigned(how.rounds)}
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(list_transform(k.e, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{how.rounds} JOIN c{how.rounds} k USING (c)"""

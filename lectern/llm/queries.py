@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import licenses, quality
+from lectern.llm.chat import op11_chat_formatting, op11_sql
 from lectern.llm.common import read
 from lectern.llm.dedup import op2_near_dedup
 from lectern.llm.knn import OP10_SQL, op10_top_k
 from lectern.llm.langid import op7_language_id
+from lectern.llm.lloyd import op13_centroid_clustering, op13_sql
 from lectern.llm.mixing import op4_mixing
 from lectern.llm.packing import op9_packing
 from lectern.llm.pii import op6_pii
+from lectern.llm.spelling import OP12_SQL, op12_spelling_variants
 from lectern.llm.suffix import op8_repeated_bytes
 from lectern.llm.toxicity import op3_toxicity
 
@@ -92,8 +95,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_toxicity, op4_mixing, op5_quality_rules, op6_pii, op7_language_id, op8_repeated_bytes, op9_packing, op10_top_k)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_toxicity, op4_mixing, op5_quality_rules, op6_pii, op7_language_id, op8_repeated_bytes, op9_packing, op10_top_k, op11_chat_formatting, op12_spelling_variants, op13_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op5_quality_rules": _op5_sql(), "op10_top_k": OP10_SQL}
+    return {"op1_license_scan": _op1_sql(), "op5_quality_rules": _op5_sql(), "op10_top_k": OP10_SQL, "op11_chat_formatting": op11_sql(), "op12_spelling_variants": OP12_SQL, "op13_centroid_clustering": op13_sql()}

@@ -244,3 +244,28 @@ def variants(words: DataFrame, how: Spelling | None = None) -> DataFrame:
 
 def op12_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return variants(planted_words(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+#: crc32 from its definition: a table of 256 remainders, then a byte at a time.
+OP12_SQL = """
+WITH RECURSIVE bit(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+run AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')) AS r FROM documents),
+low AS (SELECT doc, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM run GROUP BY ALL),
+hexed AS (SELECT w, n, hex(encode(doc || ':' || w)) AS x FROM low),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda p: ('0x' || x[p:p + 1])::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc),
+word AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM word WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM place),
+pair AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, v.word, v.n FROM less a JOIN v ON a.s = v.word
+    UNION SELECT v.word, a.word, a.n FROM less a JOIN v ON a.s = v.word),
+near AS (SELECT word, count(*) AS n_near, max(other_n) AS top_n, arg_min(other, (-other_n, other)) AS top FROM pair GROUP BY word),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top_n >= 2 * n THEN top END AS form,
+    CASE WHEN top_n >= 2 * n THEN top_n END::BIGINT AS form_n FROM v LEFT JOIN near USING (word)),
+follow(word, reached) AS (SELECT word, word FROM formed UNION ALL SELECT follow.word, f.form FROM follow JOIN formed f ON f.word = follow.reached WHERE f.form IS NOT NULL),
+ended AS (SELECT follow.word, reached AS root FROM follow JOIN formed f ON f.word = follow.reached WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ended USING (word)"""

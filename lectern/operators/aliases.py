@@ -1,21 +1,23 @@
-"""Names of documents and where texts mention them."""
+"""Names under which other documents may cite a document."""
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import STOPWORDS
+
 LEAST = 4
 # First words of titles that name nothing, and site names after a dash.
 GENERIC = "(?i)^(chapter|capitolo|slide|heading|sheet|foglio|untitled|document|documento|sezione|section|table|tabella|figure|figura)(?![\\p{L}\\p{N}_])"
 SITE = "(?i)\\s+[-–—|]\\s+(wikipedia|wikipédia|treccani|britannica|arxiv)(?![\\p{L}\\p{N}_]).*$"
 
 
-def names(docs: DataFrame) -> DataFrame:
+def names(docs: DataFrame, every: bool = False) -> DataFrame:
     """docs(doc_id, title, path) -> doc_id, alias, exact: names that a text may cite. Names of several
     words are lower-cased and match in any case; one word must be capitalised and either qualified
-    (something was cut off the title) or of irregular case. Of documents with one name the first wins."""
+    (something was cut off the title) or of irregular case. Of documents with one name the first wins, unless
+    ``every`` one is asked for."""
     bare = F.regexp_replace("title", SITE, "")
     paren = F.filter(F.transform(F.regexp_extract_all(bare, F.lit("\\(([^)]*)\\)"), F.lit(1)), lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit("\\p{Lu}")))
     plain = F.trim(F.regexp_replace(bare, "\\s*\\([^)]*\\)", ""))
@@ -25,32 +27,14 @@ def names(docs: DataFrame) -> DataFrame:
         F.transform(paren, lambda x: F.struct(x.alias("name"), F.lit(True).alias("qualified"))),
         F.filter(F.array(F.struct(F.trim(stem).alias("name"), F.lit(True).alias("qualified"))), lambda x: F.size(F.split(x["name"], " ")) >= 3),
     )
-    rows = docs.select("doc_id", F.explode(offered).alias("o")).select("doc_id", F.col("o.name").alias("name"), "o.qualified")
+    one_space = F.trim(F.regexp_replace("o.name", "\\s+", " "))
+    rows = docs.select("doc_id", F.explode(offered).alias("o")).select("doc_id", one_space.alias("name"), "o.qualified")
     rows = rows.filter((F.length("name") >= LEAST) & F.rlike("name", F.lit("\\p{L}")) & ~F.contains("name", F.lit("�")) & ~F.rlike("name", F.lit(GENERIC)))
     many = F.contains("name", F.lit(" "))
-    single = F.rlike("name", F.lit("^\\p{Lu}")) & (F.col("qualified") | ~F.rlike("name", F.lit("^\\p{Lu}\\p{Ll}*$")))
+    single = ~F.lower("name").isin(*STOPWORDS) & F.rlike("name", F.lit("^\\p{Lu}")) & (F.col("qualified") | ~F.rlike("name", F.lit("^\\p{Lu}\\p{Ll}*$")))
     kept = rows.filter(many | single).select("doc_id", F.when(many, F.lower("name")).otherwise(F.col("name")).alias("alias"), (~many).alias("exact"))
+    if every:
+        return kept.distinct()
     first = kept.withColumn("r", F.row_number().over(Window.partitionBy("alias").orderBy("doc_id"))).filter("r = 1")
     return first.select("doc_id", "alias", "exact")
 
-
-def mentions(chunks: DataFrame, known: DataFrame, longest: int = 8) -> DataFrame:
-    """chunks(chunk_id, doc_id, text), known(doc_id, alias, exact) -> chunk_id, dst_doc, alias. Runs of
-    one to ``longest`` words of the text are joined to the names (an equi-join, whatever the number of
-    names); a name of more words is joined by its first ``longest`` and then compared whole. Of
-    overlapping names the longest, then the first, stays."""
-    word = F.lit("[\\p{L}\\p{N}_]+")
-    held = chunks.select("chunk_id", F.col("doc_id").alias("own"), F.regexp_extract_all("text", word, F.lit(0)).alias("w"))
-    runs = held.select("chunk_id", "own", "w", F.posexplode(F.sequence(F.lit(1), F.size("w"))).alias("i", "one")).filter("size(w) > 0")
-    each = runs.select("chunk_id", "own", "i", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("i"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("run")))).alias("x"))
-    flat = each.select("chunk_id", "own", "i", F.when(F.col("x.n") > 1, F.lower("x.run")).otherwise(F.col("x.run")).alias("key"))
-    named = known.select(F.col("doc_id").alias("dst_doc"), "alias", F.regexp_extract_all("alias", word, F.lit(0)).alias("a"))
-    keyed = named.select("dst_doc", "alias", F.array_join("a", " ").alias("whole"), F.size("a").alias("n"), F.array_join(F.slice("a", 1, longest), " ").alias("key"))
-    found = flat.join(keyed, "key").filter("dst_doc <> own").select("chunk_id", "own", "i", "n", "dst_doc", "alias", "whole")
-    # Only places where a longer name may stand need the text's words again.
-    there = F.lower(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ")) == F.lower("whole")
-    longer = found.filter(F.col("n") > longest).join(held, ["chunk_id", "own"]).filter(there).drop("w")
-    matches = found.filter(F.col("n") <= longest).unionByName(longer).groupBy("chunk_id").agg(F.collect_list(F.struct("i", "n", "dst_doc", "alias")).alias("m"))
-    over = lambda o, x: (o["i"] < x["i"] + x["n"]) & (x["i"] < o["i"] + o["n"]) & ((o["n"] > x["n"]) | ((o["n"] == x["n"]) & (o["i"] < x["i"])))
-    kept = F.filter("m", lambda x: ~F.exists("m", lambda o: over(o, x)))
-    return matches.select("chunk_id", F.explode(kept).alias("x")).select("chunk_id", "x.dst_doc", "x.alias").distinct()

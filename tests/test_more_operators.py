@@ -3,14 +3,12 @@
 from lectern.operators import aliases, cards, evals, pdf_lines, tables
 
 
-def test_aliases_and_mentions(spark):
+def test_aliases(spark):
     docs = spark.createDataFrame(
         [(1, "Alan Turing - Wikipedia", "x/at.html"), (2, "PyTorch", "b.md"), (3, "Chapter two", "c.md"), (4, "Paper", "my_long_file.pdf"), (5, "General Rule (GR)", "e.md")], "doc_id long, title string, path string"
     )
     got = {(r.doc_id, r.alias) for r in aliases.names(docs).collect()}
     assert got == {(1, "alan turing"), (2, "PyTorch"), (4, "my long file"), (5, "general rule")} or got == {(1, "alan turing"), (2, "PyTorch"), (4, "my long file"), (5, "general rule"), (5, "GR")}
-    chunks = spark.createDataFrame([(10, 9, "see Alan Turing and PyTorch, not pytorch"), (11, 1, "Alan Turing himself")], "chunk_id long, doc_id long, text string")
-    assert sorted((r.chunk_id, r.dst_doc) for r in aliases.mentions(chunks, aliases.names(docs)).collect()) == [(10, 1), (10, 2)]
 
 
 def test_pdf_lines(spark):
@@ -50,13 +48,3 @@ def test_store(spark):
     assert {r.section_id: r.full for r in tables.section_texts(chunks).collect()} == {5: "a\nb", 6: "c"}
     assert {r.chunk_id for r in tables.heads(chunks).collect()} == {1, 2}
     assert {r.path for r in tables.relocated(docs, spark.createDataFrame([(1, "z")], "doc_id long, to string")).collect()} == {"z", "b"}
-
-
-def test_mentions_of_long_names(spark):
-    name = "on the motion of small bodies held in a resting fluid by heat"
-    known = spark.createDataFrame([(1, name, False), (2, "small bodies", False), (3, "heat flow", False), (4, "on the motion of small bodies held in other ways", False)], "doc_id long, alias string, exact boolean")
-    chunks = spark.createDataFrame(
-        [(10, 9, "As in On the Motion of small  bodies held in a resting fluid, by heat flow."), (11, 9, "on the motion of small bodies held in"), (12, 1, name), (13, 9, "heat flow on the motion of small bodies held in other ways")],
-        "chunk_id long, doc_id long, text string",
-    )
-    assert sorted((r.chunk_id, r.dst_doc) for r in aliases.mentions(chunks, known).collect()) == [(10, 1), (11, 2), (12, 2), (13, 3), (13, 4)]

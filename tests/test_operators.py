@@ -91,7 +91,7 @@ def test_identifiers_and_citations(spark):
         "doc_id long, head string, text string",
     )
     assert [tuple(r) for r in links.citations(docs).collect()] == [(2, 1, "arxiv:1706.03762")]
-    assert docs.filter("doc_id = 2").select(links.identifiers("text").alias("x")).first().x == ["arxiv:1706.03762", "10.1000/xyz.1"]
+    assert docs.filter("doc_id = 2").select(links.identifiers("text").alias("x")).first().x == ["arxiv:1706.03762", "doi:10.1000/xyz.1"]
 
 
 def test_profiles_need_agreement(spark):

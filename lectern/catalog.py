@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.plans import relational, scopes, search
+from lectern.plans import linked, phrases, relational, scopes, search
 
 
 def queries() -> dict:
-    return {**search.QUERIES, **relational.QUERIES, **scopes.QUERIES}
+    return {**search.QUERIES, **relational.QUERIES, **scopes.QUERIES, **phrases.QUERIES, **linked.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search.SQL, **relational.SQL, **scopes.SQL}
+    return {**search.SQL, **relational.SQL, **scopes.SQL, **phrases.SQL, **linked.SQL}

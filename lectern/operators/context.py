@@ -14,6 +14,13 @@ def pack(hits: DataFrame, sections: DataFrame, budget: int = BUDGET) -> DataFram
     """hits(qid, rank, section_id, text, score), sections(section_id, full) -> qid, n, section_id, whole,
     score, text. Sections come in order of their best hit: whole if short and fitting, else their hits;
     the text that exceeds the budget is cut, unless something is shown and little room is left."""
+    listed = grouped(hits, sections)
+    packed = listed.select("qid", F.posexplode(shown("g", F.lit(budget))["out"]).alias("i", "c"))
+    return packed.select("qid", (F.col("i") + 1).cast("bigint").alias("n"), "c.*")
+
+
+def grouped(hits: DataFrame, sections: DataFrame) -> DataFrame:
+    """qid, g: the sections of a question's hits by their best hit, with their whole text and the hits' texts."""
     part = hits.groupBy("qid", "section_id").agg(
         F.min("rank").alias("first"), F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("h")
     )
@@ -25,23 +32,26 @@ def pack(hits: DataFrame, sections: DataFrame, budget: int = BUDGET) -> DataFram
             F.array_join(F.transform("h", lambda x: x["text"]), "\n\n").alias("some"),
         ).alias("g"),
     )
-    listed = joined.groupBy("qid").agg(F.sort_array(F.collect_list("g")).alias("g"))
+    return joined.groupBy("qid").agg(F.sort_array(F.collect_list("g")).alias("g"))
+
+
+def shown(groups, budget: Column) -> Column:
+    """struct(left, stop, out): what of ``grouped`` fits, and the budget that is left. A question has a handful of groups."""
     row = "struct<section_id:bigint,whole:boolean,score:double,text:string>"
     state = f"struct<left:int,stop:boolean,out:array<{row}>>"
-    start = F.struct(F.lit(budget).alias("left"), F.lit(False).alias("stop"), F.array().cast(f"array<{row}>").alias("out")).cast(state)
+    start = F.struct(budget.cast("int").alias("left"), F.lit(False).alias("stop"), F.array().cast(f"array<{row}>").alias("out")).cast(state)
 
     def step(a: Column, g: Column) -> Column:
         whole = g["short"] & (F.length(g["full"]) <= a["left"])
         text = F.when(whole, g["full"]).otherwise(g["some"])
         stop = a["stop"] | (a["left"] <= 0) | ((F.length(text) > a["left"]) & (F.size(a["out"]) > 0) & (a["left"] < LEAST))
-        shown = F.substring(text, F.lit(1), F.greatest(a["left"], F.lit(0)))
-        one = F.struct(g["section_id"].cast("bigint").alias("section_id"), whole.alias("whole"), g["score"].cast("double").alias("score"), shown.alias("text"))
+        cut = F.substring(text, F.lit(1), F.greatest(a["left"], F.lit(0)))
+        one = F.struct(g["section_id"].cast("bigint").alias("section_id"), whole.alias("whole"), g["score"].cast("double").alias("score"), cut.alias("text"))
         return F.when(stop, F.struct(a["left"].alias("left"), F.lit(True).alias("stop"), a["out"].alias("out")).cast(state)).otherwise(
-            F.struct((a["left"] - F.length(shown)).alias("left"), F.lit(False).alias("stop"), F.concat(a["out"], F.array(one)).alias("out")).cast(state)
+            F.struct((a["left"] - F.length(cut)).alias("left"), F.lit(False).alias("stop"), F.concat(a["out"], F.array(one)).alias("out")).cast(state)
         )
 
-    packed = listed.select("qid", F.posexplode(F.aggregate("g", start, step, lambda a: a["out"])).alias("i", "c"))
-    return packed.select("qid", (F.col("i") + 1).cast("bigint").alias("n"), "c.*")
+    return F.aggregate(groups, start, step)
 
 
 def follow(hits: DataFrame, edges: DataFrame, seeds: int = 3, most: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -19,9 +19,18 @@ VECTORS, QUESTIONS = 16_384, 2_048
 SMALL, ENTRIES, DENSE_ROWS = 500_000, 2_000_000, 2_000
 
 
+def tokenised(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more, tokens, terms: written once, it serves postings, lengths and vectors in the place of texts."""
+    return docs.select("doc_id", *more, T.index_tokens("text").alias("tokens"), T.terms("text").alias("terms"))
+
+
+def _tokens(docs: DataFrame) -> Column:
+    return F.col("tokens") if "tokens" in docs.columns else T.index_tokens("text")
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """doc_id, dl: every index token counts."""
-    return docs.select("doc_id", F.size(T.index_tokens("text")).cast("bigint").alias("dl"))
+    return docs.select("doc_id", F.size(_tokens(docs)).cast("bigint").alias("dl"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -41,8 +50,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def bm25(questions: DataFrame, docs: DataFrame, k: int = 8, scope: DataFrame | None = None) -> DataFrame:
-    """qid, doc_id, score, rank. Frequencies and lengths are of all documents; a scope (doc_id) restricts
-    the answer only. Scores are rounded to 6 decimals, ties go to the smaller id.
+    """qid, doc_id, score, rank: the k best of ``bm25_scores``, ties to the smaller id."""
+    return top(bm25_scores(questions, docs, scope), "doc_id", k)
+
+
+def bm25_scores(questions: DataFrame, docs: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """qid, doc_id, score of every document with a term of the question. Frequencies and lengths are of all documents; a scope
+    (doc_id) restricts the answer only. Scores are rounded to 6 decimals.
 
     A document's length travels with its tokens, so texts are cut once for the postings and once for the
     totals. Only the questions' terms leave the scan, counted before the shuffle; where these terms are
@@ -50,7 +64,7 @@ def bm25(questions: DataFrame, docs: DataFrame, k: int = 8, scope: DataFrame | N
     that would cut them again; the join drops its nulls."""
     asked = query_terms(questions)
     rows = asked.count()
-    cut = docs.select("doc_id", T.index_tokens("text").alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
+    cut = docs.select("doc_id", _tokens(docs).alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
     tokens = cut.select("doc_id", "dl", F.explode_outer("w").alias("term")).join(small(asked.select("term").distinct(), rows), "term", "left_semi")
     found = tokens.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     totals = doc_lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
@@ -62,8 +76,7 @@ def bm25(questions: DataFrame, docs: DataFrame, k: int = 8, scope: DataFrame | N
     if scope is not None:
         per_term = per_term.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
-    scored = per_term.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, "doc_id", k)
+    return per_term.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top(scored: DataFrame, id_col: str, k: int) -> DataFrame:
@@ -76,7 +89,7 @@ def hash_embedding(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     16; buckets are damped by a square root and normalised."""
     h = F.crc32(F.col("term").cast("binary"))
     signed = F.when(h.bitwiseAND(F.lit(1 << 16)) != 0, F.lit(1)).otherwise(F.lit(-1))
-    words = docs.select(id_col, F.explode_outer(T.terms("text")).alias("term")).filter("term IS NOT NULL")  # outer: see bm25
+    words = docs.select(id_col, F.explode_outer(F.col("terms") if "terms" in docs.columns else T.terms("text")).alias("term")).filter("term IS NOT NULL")  # outer: see bm25
     sums = words.groupBy(id_col, (h % DIMS).alias("bucket")).agg(F.sum(signed).alias("x")).filter("x <> 0")
     damped = sums.withColumn("d", F.signum("x") * F.sqrt(F.abs("x")))
     norm = F.sqrt(F.sum(F.col("d") * F.col("d")).over(Window.partitionBy(id_col)))

@@ -40,22 +40,31 @@ def typography(blocks: DataFrame, body: float) -> DataFrame:
     return big.select("doc_id", "idx", F.least(rank, F.lit(4)).cast("bigint").alias("level"))
 
 
-def breadcrumbs(headings: DataFrame) -> DataFrame:
-    """doc_id, idx, level, title, path: the stack of open sections is folded along each document."""
-    entry = "struct<idx:bigint,level:bigint,title:string>"
-    state = f"struct<stack:array<{entry}>,out:array<struct<idx:bigint,level:bigint,title:string,path:string>>>"
-    listed = headings.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("idx").cast("bigint").alias("idx"), F.col("level").cast("bigint").alias("level"), "title"))).alias("h")
-    )
-    start = F.struct(F.array().cast(f"array<{entry}>").alias("stack"), F.array().cast("array<struct<idx:bigint,level:bigint,title:string,path:string>>").alias("out")).cast(state)
+def tree(blocks: DataFrame, deepest: int = 6) -> DataFrame:
+    """blocks(doc_id, idx, text, level; level null for body) -> doc_id, idx, text, level, section, parent, path. ``section`` is the
+    heading that a block stands under (its own idx for a heading, null before the first one), ``parent`` the section above it, ``path``
+    the titles down to it, empty ones left out. Levels may skip; those beyond ``deepest`` count as ``deepest``.
 
-    def step(a: Column, x: Column) -> Column:
-        stack = F.concat(F.filter(a["stack"], lambda s: s["level"] < x["level"]), F.array(x))
-        path = F.array_join(F.filter(F.transform(stack, lambda s: s["title"]), lambda t: t != ""), " > ")
-        row = F.struct(x["idx"].alias("idx"), x["level"].alias("level"), x["title"].alias("title"), path.alias("path"))
-        return F.struct(stack.alias("stack"), F.concat(a["out"], F.array(row)).alias("out")).cast(state)
+    A heading of level l is open as long as no later one has a level up to l, so the open ones are found with one last value for each
+    level: all of them share one window, and nothing grows along a document."""
+    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.when(F.col("level").isNotNull(), F.greatest(F.lit(1), F.least("level", F.lit(deepest))))  # both skip nulls
+    rows = blocks.select("doc_id", "idx", "text", here.alias("level"))
+    seen = rows.select("*", *(F.last(F.when(F.col("level") == n, F.struct("idx", "text")), ignorenulls=True).over(w).alias(f"h{n}") for n in range(1, deepest + 1)))
+    top = F.coalesce("level", F.lit(deepest + 1))
+    above = [F.greatest(F.lit(-1), *(F.coalesce(F.col(f"h{m}.idx"), F.lit(-1)) for m in range(1, n))) if n > 1 else F.lit(-1) for n in range(1, deepest + 1)]
+    stack = F.filter(F.array(*(F.when((F.lit(n) < top) & (F.col(f"h{n}.idx") > above[n - 1]), F.col(f"h{n}")) for n in range(1, deepest + 1))), lambda x: x.isNotNull())
+    held = seen.select("doc_id", "idx", "text", "level", stack.alias("open"))
+    titles = F.filter(F.transform("open", lambda x: x["text"]), lambda t: t != "")
+    last, heading = F.get("open", F.size("open") - 1)["idx"], F.col("level").isNotNull()
+    before = F.when(F.size("open") > 1, F.get("open", F.size("open") - 2)["idx"])
+    path = F.array_join(F.when(heading & (F.col("text") != ""), F.concat(titles, F.array("text"))).otherwise(titles), " > ")
+    return held.select("doc_id", "idx", "text", "level", F.when(heading, F.col("idx")).otherwise(last).alias("section"), F.when(heading, last).otherwise(before).alias("parent"), path.alias("path"))
 
-    return listed.select("doc_id", F.explode(F.aggregate("h", start, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.*")
+
+def breadcrumbs(headings: DataFrame) -> DataFrame:
+    """headings(doc_id, idx, level, title) -> doc_id, idx, level, title, path."""
+    return tree(headings.withColumnRenamed("title", "text")).select("doc_id", "idx", "level", F.col("text").alias("title"), "path")
 
 
 def learned_levels(votes: DataFrame) -> DataFrame:

@@ -190,26 +190,31 @@ def pii_mask_text(spark, sf_dir):
     return pii.mask(_docs(spark, sf_dir))
 
 
-def _inline(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-CHUNKS = [
-    (1, 1, "See Figure 2 and Table 1 for details."), (2, 1, "Figure 2. The pump."), (3, 1, "Table 1: Loads\nFigure 3 follows"),
-    (4, 1, "Figure 3. The valve, as in fig. 2"), (5, 2, "figure 2 is elsewhere"), (6, 2, "Tabella 4 riassume"), (7, 2, "Tab. 4 Costi"),
-]
-HEADS = [(1, 0, 1, "Guide"), (1, 1, 2, "Setup"), (1, 2, 3, "Power"), (1, 3, 2, "Use"), (1, 4, 1, "Annex"), (2, 0, 2, "Loose"), (2, 1, 1, "Top"), (2, 2, 4, "Deep")]
+def _lines(spark, sf_dir):
+    """Documents line by line: doc_id, idx, line."""
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line")).withColumn("idx", F.col("idx").cast("bigint"))
 
 
 def link_local(spark, sf_dir):
-    return links.local_edges(_inline(spark, CHUNKS, "chunk_id bigint, doc_id bigint, text string"))
+    """Of every four lines the first is made a caption, the second refers to it and to a section of eight lines, the fourth is an image
+    on the caption's page."""
+    rows, at, four = _lines(spark, sf_dir).filter("idx < 4000"), F.col("idx") % 4, F.floor(F.col("idx") / 4).cast("string")
+    said = F.concat("line", F.lit(" see Figure "), four, F.lit(", and Section "), F.floor(F.col("idx") / 8).cast("string"))
+    chunks = rows.select(
+        (F.col("doc_id") * 100_000 + F.col("idx")).alias("chunk_id"), "doc_id", F.when(at == 0, F.concat(F.lit("Figure "), four, F.lit(": "), "line")).when(at == 1, said).otherwise(F.col("line")).alias("text"),
+        F.when(at == 3, "image").otherwise("text").alias("kind"), F.concat(F.lit("page "), four).alias("loc"),
+    )
+    heads = rows.filter("idx % 8 = 0").select("doc_id", F.col("idx").alias("ordinal"), F.concat(F.floor(F.col("idx") / 8).cast("string"), F.lit(" Part")).alias("title"), (F.col("doc_id") * 100_000 + F.col("idx")).alias("first_chunk"))
+    return links.inside(chunks, heads).select("src_doc", "src", "dst", "kind", "label")
 
 
 def section_paths(spark, sf_dir):
-    return structure.breadcrumbs(_inline(spark, HEADS, "doc_id bigint, idx bigint, level bigint, title string"))
+    """Lines as blocks: every third one is a heading whose level comes from its length, the others are body."""
+    level = F.when(F.col("idx") % 3 == 0, 1 + F.length("line") % 4)
+    blocks = _lines(spark, sf_dir).select("doc_id", "idx", F.substring("line", 1, 20).alias("text"), level.alias("level"))
+    return structure.tree(blocks).select("doc_id", "idx", "section", "parent", "path")
 
 
-_EDGES = ("1,2,'figure 2',1", "1,3,'table 1',1", "3,4,'figure 3',1", "4,2,'figure 2',1", "6,7,'table 4',2", "4,3,'figure 3',1", "7,6,'table 4',2")
 _WORD = "[\\p{L}\\p{N}_]"
 _NAMES = (corpus_stats, status_format_histogram, content_hash_duplicates, stem_fold_terms, split_sentences, lead_summary, chunk_pack, chunk_ctx, numbers_canonical, language_id, coverage_pairs, session_window, memory_trigger, session_titles, boilerplate_lines, profile_votes, sync_diff, embedding_reuse, page_outlinks, html_blocks, heading_candidates, outcome_rollup, threshold_grid, fit_holdout_split, pii_counts, pii_mask, link_local, section_paths)
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -281,9 +286,20 @@ SQL = {
     "pii_mask": """WITH m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS a FROM documents),
         v AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, a FROM m), f AS (SELECT doc_id, lower(a[i]) AS value, min(i) AS i FROM v GROUP BY ALL)
         SELECT doc_id, value, '[EMAIL_' || row_number() OVER (PARTITION BY doc_id ORDER BY i) || ']' AS placeholder FROM f""",
-    "link_local": "SELECT x.doc_id::BIGINT AS doc_id, x.src::BIGINT AS src, x.dst::BIGINT AS dst, string_split(x.label, ' ')[1] AS kind, x.label AS label FROM (VALUES "
-    + ", ".join(f"({e})" for e in _EDGES) + ") AS x(src, dst, label, doc_id)",
-    "section_paths": "SELECT * FROM (VALUES (1::BIGINT,0::BIGINT,1::BIGINT,'Guide','Guide'), (1,1,2,'Setup','Guide > Setup'), (1,2,3,'Power','Guide > Setup > Power'), (1,3,2,'Use','Guide > Use'), (1,4,1,'Annex','Annex'), (2,0,2,'Loose','Loose'), (2,1,1,'Top','Top'), (2,2,4,'Deep','Top > Deep')) AS t(doc_id, idx, level, title, path)",
+    "link_local": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+        r AS (SELECT doc_id AS src_doc, doc_id * 100000 + i AS src, i // 4 AS g, i // 8 AS s, i FROM l WHERE i % 4 = 1 AND i < 4000)
+        SELECT src_doc, src, src - 1 AS dst, 'figure' AS kind, 'Figure ' || g AS label FROM r
+        UNION ALL SELECT src_doc, src, src + 2, 'figure', 'Figure ' || g FROM r JOIN l ON doc_id = src_doc AND l.i = r.i + 2
+        UNION ALL SELECT src_doc, src, src_doc * 100000 + 8 * s, 'section', 'Section ' || s FROM r""",
+    "section_paths": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents),
+        b AS (SELECT doc_id, idx, substr(line, 1, 20) AS text, CASE WHEN idx % 3 = 0 THEN 1 + length(line) % 4 END AS level FROM l),
+        h AS (SELECT * FROM b WHERE level IS NOT NULL),
+        above AS (SELECT x.doc_id, x.idx, y.idx AS up, y.text AS title FROM b x JOIN h y ON x.doc_id = y.doc_id AND y.idx < x.idx AND y.level < coalesce(x.level, 99)
+            WHERE NOT EXISTS (SELECT 1 FROM h z WHERE z.doc_id = y.doc_id AND z.idx > y.idx AND z.idx < x.idx AND z.level <= y.level)),
+        per AS (SELECT doc_id, idx, list(up ORDER BY up) AS ups, list(title ORDER BY up) FILTER (title <> '') AS titles FROM above GROUP BY ALL)
+        SELECT b.doc_id, b.idx, CASE WHEN level IS NOT NULL THEN b.idx ELSE ups[-1] END AS section, CASE WHEN level IS NOT NULL THEN ups[-1] ELSE ups[-2] END AS parent,
+            array_to_string(list_concat(coalesce(titles, []), CASE WHEN level IS NOT NULL AND text <> '' THEN [text] ELSE [] END), ' > ') AS path
+        FROM b LEFT JOIN per USING (doc_id, idx)""",
 }
 
 

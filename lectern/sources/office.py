@@ -87,31 +87,74 @@ def _number(text: str) -> str:
         return text.strip()
 
 
-def xlsx(z: zipfile.ZipFile) -> list[dict]:
-    """A heading per sheet and a table per region: runs of filled rows, then of filled columns."""
-    strings = [_text(s) for s in _all(ET.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in z.namelist() else []
-    sheets = _all(ET.fromstring(z.read("xl/workbook.xml")), "sheet")
-    out = []
-    for k, sheet in enumerate(sheets, 1):
+def _place(ref: str) -> tuple[int, int]:
+    letters, row = re.fullmatch(r"\$?([A-Z]+)\$?(\d+)", ref).groups()
+    col = 0
+    for x in letters:
+        col = col * 26 + ord(x) - 64
+    return int(row), col
+
+
+def sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, list[tuple[int, int, str, bool]], list[tuple[int, int, int, int]]]]:
+    """(name, filled cells as (row, column, value, bold), merged ranges as (rows, then columns, from and to)) of visible sheets."""
+    names = z.namelist()
+    strings = [_text(s) for s in _all(ET.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
+    bold: list[bool] = []
+    if "xl/styles.xml" in names:
+        styles = ET.fromstring(z.read("xl/styles.xml"))
+        fonts = [any(_tag(x) == "b" and _attr(x, "val") not in ("0", "false") for x in f) for group in _all(styles, "fonts") for f in group]
+        bold = [fonts[int(_attr(x, "fontId") or 0)] if fonts else False for group in _all(styles, "cellXfs") for x in group]
+    for k, sheet in enumerate(_all(ET.fromstring(z.read("xl/workbook.xml")), "sheet"), 1):
         if _attr(sheet, "state") in ("hidden", "veryHidden"):
             continue
-        out.append({"kind": "heading", "level_hint": 1, "text": _attr(sheet, "name") or f"Sheet {k}", "rows": None})
-        grid: dict[tuple[int, int], str] = {}
-        for c in _all(ET.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")), "c"):
-            letters, row = re.fullmatch(r"([A-Z]+)(\d+)", _attr(c, "r") or "A1").groups()
-            col = 0
-            for x in letters:
-                col = col * 26 + ord(x) - 64
+        root = ET.fromstring(z.read(f"xl/worksheets/sheet{k}.xml"))
+        cells = []
+        for c in _all(root, "c"):
             v = next((x.text or "" for x in c.iter() if _tag(x) == "v"), "")
             value = strings[int(v)] if _attr(c, "t") == "s" and v else _text(c) if _attr(c, "t") == "inlineStr" else _number(v)
+            style = int(_attr(c, "s") or 0)
             if value:
-                grid[int(row), col] = value
+                cells.append((*_place(_attr(c, "r") or "A1"), value, style < len(bold) and bold[style]))
+        ends = [[_place(x) for x in (_attr(m, "ref") or "A1").split(":")] for m in _all(root, "mergeCell")]
+        yield _attr(sheet, "name") or f"Sheet {k}", cells, [(e[0][0], e[-1][0], e[0][1], e[-1][1]) for e in ends]
+
+
+def xlsx(z: zipfile.ZipFile) -> list[dict]:
+    """A heading per sheet and a table per region: runs of filled rows, then of filled columns."""
+    out = []
+    for name, cells, _ in sheets(z):
+        out.append({"kind": "heading", "level_hint": 1, "text": name, "rows": None})
+        grid = {(r, c): v for r, c, v, _ in cells}
         for a, b in _islands({r for r, _ in grid}):
             for c, d in _islands({x for r, x in grid if a <= r <= b}):
                 out.append({"kind": "table", "level_hint": None, "text": "", "rows": [[grid.get((r, x), "") for x in range(c, d + 1)] for r in range(a, b + 1)]})
     return out
 
 
+#: Rows of a sheet's cells, and of its merged ranges (kind), as ``operators.sheets`` takes them; sheet is path!name.
+CELLS = "kind string, sheet string, r int, c int, v string, bold boolean, m_r1 int, m_c1 int"
+
+
+def cells(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """binaryFile rows of spreadsheets -> (cells, merged) of ``operators.sheets``; files that cannot be read have none (``read`` tells why)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in CELLS.split(", ")]
+        for pdf in batches:
+            for path, content in zip(pdf.path, pdf.content, strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                        rows = [("cell", f"{path}!{name}", r, c, v, b, None, None) for name, some, _ in sheets(z) for r, c, v, b in some]
+                        rows += [("merged", f"{path}!{name}", r0, c0, None, None, r1, c1) for name, _, ranges in sheets(z) for r0, r1, c0, c1 in ranges]
+                except (zipfile.BadZipFile, KeyError, ET.ParseError, IndexError, ValueError, AttributeError):
+                    continue
+                yield pd.DataFrame(rows, columns=names).astype({"m_r1": "Int32", "m_c1": "Int32", "bold": "boolean"})
+
+    every = files.select("path", "content").mapInPandas(run, CELLS)
+    merged = every.filter("kind = 'merged'").selectExpr("sheet", "r AS m_r0", "m_r1", "c AS m_c0", "m_c1")
+    return every.filter("kind = 'cell'").select("sheet", "r", "c", "v", "bold"), merged
+
+
 def _islands(places: set[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for p in sorted(places):

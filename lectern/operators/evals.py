@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,18 +33,37 @@ def report(graded: DataFrame) -> DataFrame:
     return sums.select(F.coalesce("set", F.lit("ALL")).alias("set"), "n", "correct", "wrong", "refused", "hallucinated", precision.alias("precision"))
 
 
-def grid(run: DataFrame, relevance: list[float], support: list[float]) -> DataFrame:
-    """run(id, relevance, support, good) -> relevance, support, score: right answers minus three times
-    the others, for every pair of a fixed grid. The grid is columns of one aggregate, no row is copied."""
-    cells = [(a, b) for a in relevance for b in support]
-    score = lambda a, b: F.sum(F.when((F.col("relevance") >= a) & (F.col("support") >= b), F.when(F.col("good"), 1).otherwise(-3)).otherwise(0)).cast("bigint")
-    sums = run.agg(*(score(a, b).alias(f"c{i}") for i, (a, b) in enumerate(cells)))
-    rows = F.array(*(F.struct(F.lit(a).alias("relevance"), F.lit(b).alias("support"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("score")) for i, (a, b) in enumerate(cells)))
-    return sums.select(F.explode(rows).alias("x")).select("x.*")
+#: What a wrong or invented answer costs, in right ones.
+COST = 3
 
 
-def choice(rows: DataFrame) -> DataFrame:
-    """rows(req_id, token, logprob) -> req_id, label, p: probabilities of stripped labels, normalised."""
-    per = rows.groupBy("req_id", F.trim("token").alias("label")).agg(F.sum(F.exp("logprob")).alias("w"))
-    total = per.groupBy("req_id").agg(F.sum("w").alias("t"))
-    return per.join(total, "req_id").select("req_id", "label", (F.col("w") / F.col("t")).alias("p"))
+def replay(run: DataFrame, relevance: list[float], support: list[float], verifier: list[float]) -> DataFrame:
+    """run(relevance, support, verifier, good) -> relevance, support, verifier, n, score: for every cell of the grid (ascending
+    thresholds) what is answered when each measure must reach its threshold, and right answers less COST times the others.
+
+    A row falls into one bin, the number of thresholds it reaches on each axis; bins are counted with one shuffle, and a cell is
+    the sum of the bins beyond it: three running sums over as many rows as the grid has bins. A missing relevance reaches every
+    threshold, another missing measure none."""
+    axes = {"relevance": relevance, "support": support, "verifier": verifier}
+    reached = [F.aggregate(F.array(*(F.coalesce((F.col(a) >= t).cast("int"), F.lit(int(a == "relevance"))) for t in ts)), F.lit(0), lambda x, y: x + y).alias(f"b_{a}") for a, ts in axes.items()]
+    value = F.when(F.col("good"), 1).otherwise(-COST).alias("score")
+    bins = run.select(*reached, F.lit(1).alias("n"), value)
+    edges = [F.explode(F.sequence(F.lit(0), F.lit(len(ts)))).alias(f"b_{a}") for a, ts in axes.items()]
+    empty = run.sparkSession.range(1).select(edges[0]).select("*", edges[1]).select("*", edges[2]).select("*", F.lit(0).alias("n"), F.lit(0).alias("score"))
+    cube = bins.groupBy(*(f"b_{a}" for a in axes)).agg(F.sum("n").alias("n"), F.sum("score").alias("score")).unionByName(empty).coalesce(1)  # no more rows than bins, twice
+    cube = cube.groupBy(*(f"b_{a}" for a in axes)).agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
+    for a in axes:
+        beyond = Window.partitionBy(*(f"b_{x}" for x in axes if x != a)).orderBy(F.desc(f"b_{a}")).rowsBetween(Window.unboundedPreceding, 0)
+        cube = cube.select(*(f"b_{x}" for x in axes), *(F.sum(c).over(beyond).alias(c) for c in ("n", "score")))
+    at = [F.get(F.array(*(F.lit(float(t)) for t in ts)), F.col(f"b_{a}") - 1).alias(a) for a, ts in axes.items()]
+    return cube.filter(" AND ".join(f"b_{a} > 0" for a in axes)).select(*at, F.col("n").cast("bigint").alias("n"), F.col("score").cast("bigint").alias("score"))
+
+
+def choice(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """rows(req_id, token, logprob) -> req_id, label, p, a row for each label: the probabilities of stripped tokens, normalised; all
+    alike where no token is a label."""
+    token = F.trim("token")
+    sums = rows.groupBy("req_id").agg(*(F.sum(F.when(token == x, F.exp("logprob")).otherwise(0.0)).alias(f"w{i}") for i, x in enumerate(labels)))
+    total = sum((F.col(f"w{i}") for i in range(1, len(labels))), F.col("w0"))
+    each = F.array(*(F.struct(F.lit(x).alias("label"), F.when(total > 0, F.col(f"w{i}") / total).otherwise(1.0 / len(labels)).alias("p")) for i, x in enumerate(labels)))
+    return sums.select("req_id", F.explode(each).alias("x")).select("req_id", "x.*")

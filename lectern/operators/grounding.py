@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 
 MARK = "\\[([0-9]{1,2})\\]"
-# Words of notes that the sources lack an answer, English and Italian.
-ABSENT = (
-    "(?i)\\b(not|never|no|isn't|aren't|doesn't|non|mai)\\b.*\\b(mention(?:ed|s)?|list(?:ed|s)?|found|stated?|specif(?:y|ied)|provided?|included?|given|"
-    "menzionat[oaie]|indicat[oaie]|presenti?|trovat[oaie])\\b.*\\b(passages?|documents?|sources?|context|document[oi]|font[ei]|contesto|passagg[io]+)\\W*$"
-)
+# A note that the sources lack the answer, English and Italian. Not, then within 60 characters a word for being
+# listed, within 20 more a preposition and the sources, and nothing after them: "not found in the source code" is a claim.
+NOT = "(?:not|no|non|nessun\\w*|senza)"
+LISTED = "(?:listed|mentioned|stated|specified|provided|found|elencat\\w*|menzionat\\w*|riportat\\w*|indicat\\w*|specificat\\w*|fornit\\w*|trovat\\w*)"
+IN = "(?:in|nei|nel|nelle|nello|nella|from)\\s+(?:(?:the|these|this|those|i|le|questi|queste|gli)\\s+)?(?:(?:provided|given|available|forniti|fornite|disponibili)\\s+)?"
+SOURCES = "(?:passages?|documents?|sources?|context|passagg\\w*|documenti|fonti|contesto)(?:\\s+(?:provided|given|above|forniti|fornite))?"
+ABSENT = f"(?iU)\\b{NOT}\\b[^.;]{{0,60}}?\\b{LISTED}\\b[^.;]{{0,20}}?\\b{IN}{SOURCES}\\W*$"
 LACKS, NUMBER, UNSUPPORTED = "says the sources lack the answer", "number not in the sources", "not supported by the sources"
 
 
@@ -73,6 +75,8 @@ def best_evidence(claims: DataFrame, passages: DataFrame) -> DataFrame:
     return first.join(parts, ["qid", "n"]).groupBy("qid", "sent").agg(F.substring(F.max(score)["s"], 1, 400).alias("evidence"))
 
 
-def relevant(contexts: DataFrame, least: float) -> DataFrame:
-    """qid, ok: the best score of a question's contexts reaches the gate."""
-    return contexts.groupBy("qid").agg((F.max("score") >= least).alias("ok"))
+def relevant(questions: DataFrame, contexts: DataFrame, least: float) -> DataFrame:
+    """questions(qid), contexts(qid, score, via) -> qid, ok: the best score of a question's own contexts (those that links added do not
+    count) reaches the gate. A question without contexts has a row and does not pass."""
+    best = contexts.filter("coalesce(via, '') = ''").groupBy("qid").agg(F.max("score").alias("best"))
+    return questions.select("qid").distinct().join(best, "qid", "left").select("qid", F.coalesce(F.col("best") >= least, F.lit(False)).alias("ok"))

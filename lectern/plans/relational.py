@@ -158,6 +158,19 @@ def threshold_grid(spark, sf_dir):
     return sums.select(F.explode(F.array(*(F.struct(F.lit(g).cast("bigint").alias("threshold"), F.col(f"g{g}").alias("score")) for g in grid))).alias("x")).select("x.*")
 
 
+AXES = ([-1000, -10, -9, -8, -7, -6, -5, -4, -3], [0.0, 0.3, 0.4, 0.5, 0.6, 0.7], [0.0, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95])
+
+
+def threshold_replay(spark, sf_dir):
+    """9 x 6 x 7 thresholds over the labelled documents; the measures come from lengths and ids, every fiftieth has no relevance."""
+    from lectern.operators import evals
+
+    j = read(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", "n_chars"), "doc_id")
+    relevance = F.when(F.col("doc_id") % 50 != 0, (F.col("n_chars") % 1000).cast("double") / 100 - 11)
+    run = j.select(relevance.alias("relevance"), ((F.col("n_chars") % 97).cast("double") / 97).alias("support"), ((F.col("doc_id") % 89).cast("double") / 88).alias("verifier"), (F.col("quality") == 1).alias("good"))
+    return evals.replay(run, *AXES)
+
+
 def fit_holdout_split(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id")
     code = F.aggregate(F.transform(F.split(F.col("doc_id").cast("string"), "(?!^)(?!$)"), lambda c: F.ascii(c)), F.lit(0), lambda a, x: a + x)
@@ -190,6 +203,14 @@ def pii_mask_text(spark, sf_dir):
     return pii.mask(_docs(spark, sf_dir))
 
 
+def pii_mask_fields(spark, sf_dir):
+    """Ten documents at a time are the fields of one: the same value has the same placeholder in all ten."""
+    from lectern.operators import pii
+
+    d = _docs(spark, sf_dir)
+    return pii.mask_fields(d.select(F.floor(F.col("doc_id") / 10).alias("doc_id"), F.col("doc_id").alias("seq"), "text"))[0]
+
+
 def _lines(spark, sf_dir):
     """Documents line by line: doc_id, idx, line."""
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line")).withColumn("idx", F.col("idx").cast("bigint"))
@@ -216,7 +237,7 @@ def section_paths(spark, sf_dir):
 
 
 _WORD = "[\\p{L}\\p{N}_]"
-_NAMES = (corpus_stats, status_format_histogram, content_hash_duplicates, stem_fold_terms, split_sentences, lead_summary, chunk_pack, chunk_ctx, numbers_canonical, language_id, coverage_pairs, session_window, memory_trigger, session_titles, boilerplate_lines, profile_votes, sync_diff, embedding_reuse, page_outlinks, html_blocks, heading_candidates, outcome_rollup, threshold_grid, fit_holdout_split, pii_counts, pii_mask, link_local, section_paths)
+_NAMES = (corpus_stats, status_format_histogram, content_hash_duplicates, stem_fold_terms, split_sentences, lead_summary, chunk_pack, chunk_ctx, numbers_canonical, language_id, coverage_pairs, session_window, memory_trigger, session_titles, boilerplate_lines, profile_votes, sync_diff, embedding_reuse, page_outlinks, html_blocks, heading_candidates, outcome_rollup, threshold_grid, threshold_replay, fit_holdout_split, pii_counts, pii_mask, link_local, section_paths)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -279,6 +300,9 @@ SQL = {
         SELECT doc_id, bin AS ordinal, sum(size)::BIGINT AS words FROM r GROUP BY ALL""",
     "outcome_rollup": "SELECT coalesce(lang, 'ALL') AS lang, count(*) AS n, sum(quality)::BIGINT AS good, round(avg(toxic), 6) AS toxic_share FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)",
     "threshold_grid": "SELECT threshold::BIGINT AS threshold, sum(CASE WHEN n_chars >= threshold THEN CASE WHEN quality = 1 THEN 1 ELSE -3 END ELSE 0 END)::BIGINT AS score FROM labels JOIN documents USING (doc_id), (SELECT unnest(range(100, 1201, 100)) AS threshold) GROUP BY threshold",
+    "threshold_replay": f"""SELECT relevance, support, verifier, coalesce(sum(CASE WHEN ok THEN 1 END), 0)::BIGINT AS n, coalesce(sum(CASE WHEN ok THEN CASE WHEN quality = 1 THEN 1 ELSE -3 END END), 0)::BIGINT AS score
+        FROM (SELECT quality, relevance, support, verifier, (doc_id % 50 = 0 OR (n_chars % 1000)::DOUBLE / 100 - 11 >= relevance) AND (n_chars % 97)::DOUBLE / 97 >= support AND (doc_id % 89)::DOUBLE / 88 >= verifier AS ok
+        FROM labels JOIN documents USING (doc_id), (SELECT unnest({AXES[0]}::DOUBLE[]) AS relevance), (SELECT unnest({AXES[1]}::DOUBLE[]) AS support), (SELECT unnest({AXES[2]}::DOUBLE[]) AS verifier)) GROUP BY ALL""",
     "fit_holdout_split": "SELECT list_sum(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c))) % 2 = 0 AS fit, count(*) AS n FROM documents GROUP BY 1",
     "pii_counts": """SELECT doc_id, label, count(DISTINCT lower(v)) AS n FROM (
         SELECT doc_id, 'EMAIL' AS label, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS v FROM documents
@@ -332,7 +356,7 @@ def numbering_runs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES |= {f.__name__: f for f in (ground_sentences, context_pack, numbering_runs, canonical_numbers, pii_mask_text)}
+QUERIES |= {f.__name__: f for f in (ground_sentences, context_pack, numbering_runs, canonical_numbers, pii_mask_text, pii_mask_fields)}
 SQL["context_pack"] = """WITH RECURSIVE r AS MATERIALIZED (SELECT qid, rank AS k, doc_id, length(text) AS n, text FROM (BM25) JOIN documents USING (doc_id)),
     p AS (SELECT qid, k, doc_id, n, row_number() OVER (PARTITION BY qid ORDER BY k) AS i FROM r),
     w AS (SELECT qid, i, 9000 - least(n, 9000) AS room, least(n, 9000) AS shown, doc_id, false AS stop FROM p WHERE i = 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +75,14 @@ def _norm(text):
 
 def hit_counts(hits: DataFrame) -> DataFrame:
     """hits(qid, rank, text, evidence) -> n, hit_1, hit_3, hit_8: a hit holds the whole evidence, both
-    normalised."""
-    norm = F.udf(_norm, "string")
-    found = hits.groupBy("qid").agg(F.min(F.when(F.contains(norm("text"), norm("evidence")), F.col("rank"))).alias("first"))
+    normalised, in Arrow batches of the few hits of a question."""
+
+    @F.pandas_udf("boolean")
+    def holds(text: pd.Series, evidence: pd.Series) -> pd.Series:
+        wanted = {e: _norm(e) for e in evidence.unique()}
+        return pd.Series([None if t is None or e is None else wanted[e] in _norm(t) for t, e in zip(text, evidence)], dtype="object")
+
+    found = hits.groupBy("qid").agg(F.min(F.when(holds("text", "evidence"), F.col("rank"))).alias("first"))
     return found.agg(
         F.count(F.lit(1)).alias("n"),
         *(F.sum((F.coalesce(F.col("first") <= k, F.lit(False))).cast("bigint")).alias(f"hit_{k}") for k in (1, 3, 8)),
@@ -132,6 +138,8 @@ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM dfs, tot),
 sc AS (SELECT qid, doc_id, lang, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
     FROM asked JOIN post USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), tot GROUP BY ALL)"""
+_PLAIN = "regexp_replace(regexp_replace(lower({t}), '([0-9]),([0-9]{{3}})', '\\1\\2', 'g'), '([0-9]),([0-9]{{3}})', '\\1\\2', 'g')"
+_NORM = f"trim(regexp_replace(translate({_PLAIN}, '−’', '-'''), '\\s+', ' ', 'g'))"
 _RANK = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)"
 
 QUERIES = {f.__name__: f for f in (tokenize_terms, postings_stats, avg_doc_len, bm25_topk, bm25_scoped, hash_embed_documents, vector_topk, rrf_fusion, hybrid_search, hit_at_k, near_duplicate_first, contamination_hits)}
@@ -156,7 +164,7 @@ SQL = {
         SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, doc_id) AS rank FROM f
         QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, doc_id) <= 8""",
     "hit_at_k": f"""{BM25}, h AS (SELECT qid, doc_id, {_RANK} AS r FROM sc QUALIFY {_RANK} <= 8),
-        f AS (SELECT qid, min(CASE WHEN contains(d.text, substr(b.text, 1, 60)) THEN r END) AS first
+        f AS (SELECT qid, min(CASE WHEN contains({_NORM.format(t='d.text')}, {_NORM.format(t='b.text')}) THEN r END) AS first
             FROM h JOIN benchmark b ON b.item_id = qid JOIN documents d USING (doc_id) GROUP BY qid)
         SELECT count(*) AS n, count(*) FILTER (first <= 1) AS hit_1, count(*) FILTER (first <= 3) AS hit_3, count(*) FILTER (first <= 8) AS hit_8 FROM f""",
     "near_duplicate_first": """SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1""",

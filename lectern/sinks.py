@@ -24,9 +24,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """JSON lines, one object a row."""
-    events.write.mode("append").json(path)
+def append_events(events: DataFrame, path: str, batch: str) -> None:
+    """JSON lines, one object a row; writing a batch again replaces it."""
+    events.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def write_report(rows: DataFrame, path: str) -> None:

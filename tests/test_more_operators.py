@@ -35,8 +35,6 @@ def test_grading(spark):
     assert got == {"a": "correct", "b": "wrong", "c": "refused", "d": "hallucinated"}
     graded = spark.createDataFrame([("s", o) for o in got.values()], "set string, outcome string")
     assert {r.set: r.precision for r in evals.report(graded).collect()} == {"s": 0.333333, "ALL": 0.333333}
-    log = spark.createDataFrame([(1, 0.5, 0.4, True), (2, -1.0, 0.9, False)], "id int, relevance double, support double, good boolean")
-    assert {(r.relevance, r.support): r.score for r in evals.grid(log, [-2.0, 0.0], [0.2]).collect()} == {(-2.0, 0.2): -2, (0.0, 0.2): 1}
 
 
 def test_store(spark):

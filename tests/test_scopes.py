@@ -30,7 +30,7 @@ def test_sinks(spark, tmp_path):
     old, new = one, spark.createDataFrame([(2, "z"), (3, "c")], "doc_id long, text string")
     assert sorted(tuple(r) for r in sinks.upsert(old, new, ["doc_id"]).collect()) == [(1, "a"), (2, "z"), (3, "c")]
     for _ in range(2):
-        sinks.append_events(one, str(tmp_path / "events"))
-    assert spark.read.json(str(tmp_path / "events")).count() == 4
+        sinks.append_events(one, str(tmp_path / "events"), "b")
+    assert spark.read.json(str(tmp_path / "events")).count() == 2
     sinks.write_report(one.orderBy("doc_id"), str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).agg(F.count("*")).first()[0] == 2

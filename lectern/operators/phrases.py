@@ -12,22 +12,50 @@ in a phrase several times; repeated phrases of a question count once; equal scor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.retrieval import B, K1, small, top
+from lectern.operators.retrieval import B, K1, SMALL, small, top
+from lectern.shared import written
 
 CLAUSE = "[.,;:!?\\n]+"
 
 
 def index(docs: DataFrame, terms: DataFrame | None = None, rows: int | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, dl, term, at. With ``terms`` (term; ``rows`` bounds their number) only
-    these leave the scan."""
-    cut = docs.select("doc_id", T.index_tokens("text").alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
-    tokens = cut.select("doc_id", "dl", F.posexplode_outer("w").alias("pos", "term"))
-    tokens = tokens.filter("term IS NOT NULL") if terms is None else tokens.join(small(terms, rows), "term", "left_semi")
-    return tokens.groupBy("doc_id", "dl", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    """docs(doc_id, text), one row a document -> doc_id, dl, term, at. With ``terms`` (term; ``rows`` bounds their number) only these
+    leave the scan. A text's tokens stand in one row, so its postings are made there, without a shuffle."""
+    wanted = pa.array([r.term for r in terms.collect()], pa.string()) if terms is not None and rows <= SMALL else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, size = lists.flatten(), np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            if wanted is None:
+                coded = flat.dictionary_encode()
+                code, names = coded.indices.to_numpy(), coded.dictionary
+            else:
+                code, names = pc.fill_null(pc.index_in(flat, wanted), -1).to_numpy(), wanted
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            mine = np.flatnonzero(code >= 0)
+            key = row[mine] * (len(names) + 1) + code[mine]
+            order = np.argsort(key, kind="stable")  # positions stay ascending
+            mine, key = mine[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            ends = pa.array(np.append(first, len(key)).astype(np.int32))
+            at, whose = pa.ListArray.from_arrays(ends, pa.array(place[mine].astype(np.int32))), row[mine[first]]
+            columns = [batch.column(0).take(pa.array(whose)), pa.array(size[whose]), names.take(pa.array(code[mine[first]])), at]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "term", "at"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", T.index_tokens("text").alias("w")).mapInArrow(run, f"doc_id {kind}, dl bigint, term string, at array<int>")
+    return found if terms is None or wanted is not None else found.join(terms, "term", "left_semi").select("doc_id", "dl", "term", "at")
 
 
 def totals(docs: DataFrame) -> DataFrame:
@@ -54,25 +82,41 @@ def terms_of(phrases: DataFrame) -> DataFrame:
 
 def matches(phrases: DataFrame, held: DataFrame, rows: int) -> DataFrame:
     """phrases(phrase), held of ``index`` -> phrase, doc_id, dl, starts (sorted). ``rows`` bounds the number
-    of terms of all phrases, for the broadcasts."""
+    of terms of all phrases, for the broadcasts.
+
+    The rarest term gives the candidates, the next one cuts them, and what is left looks the other terms up at once. Terms and
+    phrases travel as numbers."""
     asked = terms_of(phrases)
     spread = held.join(small(asked.select("term").distinct(), rows), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # A phrase with a term that no text holds loses that row, and with it the whole phrase.
     weighed = asked.join(small(spread, rows), "term")
     whole = Window.partitionBy("phrase")
-    placed = weighed.withColumn("there", F.count(F.lit(1)).over(whole)).filter("there = n").withColumn("order", F.row_number().over(whole.orderBy("df", "off")))
-    first = placed.filter("order = 1").select("phrase", "n", "term", F.col("off").alias("o"))
-    shifted = F.filter(F.transform("at", lambda p: p - F.col("o")), lambda p: p >= 0)
-    found = held.join(small(first, rows), "term").select("phrase", "n", "doc_id", "dl", shifted.alias("starts")).filter("size(starts) > 0")
-    rest = placed.filter("order > 1").select("phrase", "term", F.col("off").alias("o"))
-    probes = found.filter("n > 1").join(small(rest, rows), "phrase")
-    met = probes.join(held.select("doc_id", "term", "at"), ["doc_id", "term"])
-    kept = met.select("phrase", "n", "doc_id", "dl", F.array_intersect("starts", shifted).alias("s")).filter("size(s) > 0")
+    placed = weighed.withColumn("there", F.count(F.lit(1)).over(whole)).filter("there = n").withColumn("nth", F.row_number().over(whole.orderBy("df", "off")))
+    codes = written(placed.select("term").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
+    numbers = written(placed.filter("nth = 1").select("phrase", "n").withColumn("p", F.monotonically_increasing_id()), "phrases")
+    steps = written(placed.join(codes, "term").join(numbers.select("phrase", "p"), "phrase").select("p", "n", "code", F.col("off").alias("o"), "nth"), "steps")
+
+    def postings(some: DataFrame) -> DataFrame:
+        """Of the terms of these steps only."""
+        wanted = codes.join(some.select("code").distinct(), "code", "left_semi")
+        return held.join(small(wanted, rows), "term").select("doc_id", "dl", "code", "at")
+
+    shifted = F.filter(F.transform("at", lambda x: x - F.col("o")), lambda x: x >= 0)
+    first, second, rest = steps.filter("nth = 1"), steps.filter("nth = 2").select("p", "code", "o"), steps.filter("nth > 2").select("p", "code", "o")
+    found = postings(first).join(small(first, rows), "code").select("p", "n", "doc_id", "dl", shifted.alias("starts")).filter("size(starts) > 0")
+
+    def met(some: DataFrame, by: DataFrame) -> DataFrame:
+        probes = some.join(small(by, rows), "p").join(postings(by).select("doc_id", "code", "at"), ["doc_id", "code"])
+        return probes.select("p", "n", "doc_id", "dl", F.array_intersect("starts", shifted).alias("starts")).filter("size(starts) > 0")
+
+    two = written(met(found.filter("n > 1"), second), "candidates")
     # An array is never longer than the rarest term's positions; there is one for each other term.
     folded = F.aggregate(F.slice("all", 2, F.size("all")), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b))
-    joined = kept.groupBy("phrase", "n", "doc_id", "dl").agg(F.collect_list("s").alias("all")).filter("size(all) = n - 1")
-    several = joined.select("phrase", "doc_id", "dl", F.sort_array(folded).alias("starts")).filter("size(starts) > 0")
-    return found.filter("n = 1").select("phrase", "doc_id", "dl", "starts").unionByName(several)
+    joined = met(two.filter("n > 2"), rest).groupBy("p", "n", "doc_id", "dl").agg(F.collect_list("starts").alias("all")).filter("size(all) = n - 2")
+    several = joined.select("p", "doc_id", "dl", folded.alias("starts")).filter("size(starts) > 0")
+    every = [x.select("p", "doc_id", "dl", "starts") for x in (found.filter("n = 1"), two.filter("n = 2"), several)]
+    named = every[0].unionByName(every[1]).unionByName(every[2]).join(small(numbers.select("p", "phrase"), rows), "p")
+    return named.select("phrase", "doc_id", "dl", F.sort_array("starts").alias("starts"))
 
 
 def bm25(asked: DataFrame, held: DataFrame, whole: DataFrame, rows: int, k: int = 8) -> DataFrame:
@@ -89,7 +133,7 @@ def bm25(asked: DataFrame, held: DataFrame, whole: DataFrame, rows: int, k: int
 
 def matching(phrases: DataFrame, held: DataFrame, rows: int) -> DataFrame:
     """phrases(owner, phrase) -> doc_id, owner: the documents that hold a phrase of another one: all that a
-    search for its names has to look at."""
-    owners = phrases.filter("phrase <> ''").select("owner", "phrase").distinct()
+    search for its names has to look at. A phrase of several owners is the smallest one's, as a name is."""
+    owners = phrases.filter("phrase <> ''").groupBy("phrase").agg(F.min("owner").alias("owner"))
     found = matches(owners, held, rows).select("phrase", "doc_id")
     return found.join(small(owners, rows), "phrase").filter("owner <> doc_id").select("doc_id", "owner").distinct()

@@ -49,6 +49,6 @@ SQL = {
         SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc
         QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 8""",
     "citation_prefilter": f"""WITH doc AS (SELECT doc_id, {_TOK.format('text')} AS w FROM documents),
-        named AS (SELECT DISTINCT doc_id AS owner, w[1:4] AS p FROM doc WHERE doc_id % 50 = 0 AND len(w) > 0)
+        named AS (SELECT min(doc_id) AS owner, w[1:4] AS p FROM doc WHERE doc_id % 50 = 0 AND len(w) > 0 GROUP BY w[1:4])
         SELECT DISTINCT doc_id, owner FROM named JOIN doc ON owner <> doc_id AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')""",
 }

@@ -85,5 +85,5 @@ def test_phrases_against_brute_force(spark):
     assert got == want
     named = spark.createDataFrame([(901, "the the"), (901, "the the"), (5, "the the"), (6, "")], "owner long, phrase string")
     found = {tuple(x) for x in phrases.matching(named, held, 10).collect()}
-    assert found == {(d, o) for (a, d) in want if a == "the the" for o in (901, 5) if o != d}
+    assert found == {(d, o) for (a, d) in want if a == "the the" for o in (5,) if o != d}
     assert phrases.matches(spark.createDataFrame([("a b",)], "phrase string"), phrases.index(docs.limit(0)), 10).count() == 0

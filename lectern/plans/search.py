@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import retrieval as R
-from lectern.plans.common import STOP_SQL, read
+from lectern.plans.common import STOP_SQL, crc_sql, read
 
 
 def questions(spark, sf_dir) -> DataFrame:
@@ -142,6 +142,14 @@ _PLAIN = "regexp_replace(regexp_replace(lower({t}), '([0-9]),([0-9]{{3}})', '\\1
 _NORM = f"trim(regexp_replace(translate({_PLAIN}, '−’', '-'''), '\\s+', ' ', 'g'))"
 _RANK = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)"
 
+#: Hash vectors of documents (kind d) and questions (kind q): vec(kind, id, bucket, w).
+VECTORS = f"""v_in AS (SELECT 'q' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents),
+v_term AS (SELECT kind, id, unnest(CASE WHEN len(b) > 0 THEN b ELSE a END) AS term FROM (SELECT kind, id, a, list_filter(a, lambda x: x NOT IN ({STOP_SQL})) AS b
+    FROM (SELECT kind, id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS a FROM v_in))),
+{crc_sql('v_term', 'term')},
+v_sum AS (SELECT kind, id, h % 512 AS bucket, sum(CASE WHEN h & 65536 <> 0 THEN 1 ELSE -1 END) AS x FROM v_term JOIN crc_of USING (term) GROUP BY ALL HAVING x <> 0),
+vec AS MATERIALIZED (SELECT kind, id, bucket, sign(x) * sqrt(abs(x)) / sqrt(sum(abs(x)) OVER (PARTITION BY kind, id)) AS w FROM v_sum)"""
+
 QUERIES = {f.__name__: f for f in (tokenize_terms, postings_stats, avg_doc_len, bm25_topk, bm25_scoped, hash_embed_documents, vector_topk, rrf_fusion, hybrid_search, hit_at_k, near_duplicate_first, contamination_hits)}
 SQL = {
     "tokenize_terms": f"""SELECT term, count(*) AS n FROM (SELECT unnest(CASE WHEN len(c) > 0 THEN c ELSE a END) AS term FROM (
@@ -153,6 +161,14 @@ SQL = {
         SELECT len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS dl FROM documents)""",
     "bm25_topk": f"{BM25} SELECT qid, doc_id, score, {_RANK} AS rank FROM sc QUALIFY {_RANK} <= 8",
     "bm25_scoped": f"{BM25} SELECT qid, doc_id, score, {_RANK} AS rank FROM sc WHERE lang = 'fr' QUALIFY {_RANK} <= 8",
+    "hash_embed_documents": f"WITH RECURSIVE {VECTORS} SELECT id AS doc_id, bucket, round(w, 6) AS weight FROM vec WHERE kind = 'd'",
+    "hybrid_search": f"""{BM25.replace('WITH ', 'WITH RECURSIVE ', 1)}, {VECTORS},
+        cosine AS (SELECT q.id AS qid, d.id AS doc_id, round(sum(q.w * d.w), 6) AS score FROM vec q JOIN vec d USING (bucket) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY ALL),
+        u AS (SELECT qid, doc_id, {_RANK} AS r, 0 AS src FROM cosine QUALIFY r <= 40 UNION ALL SELECT qid, doc_id, {_RANK}, 1 FROM sc QUALIFY {_RANK} <= 40),
+        f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (r + 60)), 9) AS score, min(src * 1000 + r) AS seen FROM u GROUP BY ALL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, doc_id) AS place FROM f),
+        o AS (SELECT p.* FROM p JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY qid, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY place) = 1)
+        SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM o QUALIFY rank <= 8""",
     "vector_topk": """WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round(list_dot_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS score
         FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
         SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s

@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.retrieval import B, K1, SMALL, small, top
+from lectern.operators.retrieval import B, K1, runs, small, top, wanted_terms
 from lectern.shared import written
 
 CLAUSE = "[.,;:!?\\n]+"
@@ -30,27 +29,13 @@ CLAUSE = "[.,;:!?\\n]+"
 def index(docs: DataFrame, terms: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """docs(doc_id, text), one row a document -> doc_id, dl, term, at. With ``terms`` (term; ``rows`` bounds their number) only these
     leave the scan. A text's tokens stand in one row, so its postings are made there, without a shuffle."""
-    wanted = pa.array([r.term for r in terms.collect()], pa.string()) if terms is not None and rows <= SMALL else None
+    wanted = wanted_terms(terms, rows) if terms is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat, size = lists.flatten(), np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-            if wanted is None:
-                coded = flat.dictionary_encode()
-                code, names = coded.indices.to_numpy(), coded.dictionary
-            else:
-                code, names = pc.fill_null(pc.index_in(flat, wanted), -1).to_numpy(), wanted
-            row = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            mine = np.flatnonzero(code >= 0)
-            key = row[mine] * (len(names) + 1) + code[mine]
-            order = np.argsort(key, kind="stable")  # positions stay ascending
-            mine, key = mine[order], key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-            ends = pa.array(np.append(first, len(key)).astype(np.int32))
-            at, whose = pa.ListArray.from_arrays(ends, pa.array(place[mine].astype(np.int32))), row[mine[first]]
-            columns = [batch.column(0).take(pa.array(whose)), pa.array(size[whose]), names.take(pa.array(code[mine[first]])), at]
+            names, size, row, code, ends, place = runs(batch.column(1), wanted)
+            at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
+            columns = [batch.column(0).take(pa.array(row)), pa.array(size[row]), names.take(pa.array(code)), at]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "term", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

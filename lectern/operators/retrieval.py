@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -19,18 +24,50 @@ VECTORS, QUESTIONS = 16_384, 2_048
 SMALL, ENTRIES, DENSE_ROWS = 500_000, 2_000_000, 2_000
 
 
-def tokenised(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, more, tokens, terms: written once, it serves postings, lengths and vectors in the place of texts."""
-    return docs.select("doc_id", *more, T.index_tokens("text").alias("tokens"), T.terms("text").alias("terms"))
+def runs(lists: pa.ListArray, wanted: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of token lists: (different tokens, number of tokens of each list, then for each list and token of it: list, token, where
+    its positions begin and end), and last all positions in that order. With ``wanted`` only these tokens count."""
+    flat = lists.flatten()
+    size = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    if wanted is None:
+        coded = flat.dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary
+    else:
+        code, names = pc.fill_null(pc.index_in(flat, wanted), -1).to_numpy(), wanted
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    mine = np.flatnonzero(code >= 0)
+    key = row[mine] * (len(names) + 1) + code[mine]
+    order = np.argsort(key, kind="stable")  # positions stay ascending
+    mine, key = mine[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return names, size, row[mine[first]], code[mine[first]], np.append(first, len(key)), place[mine]
+
+
+def wanted_terms(asked: DataFrame, rows: int) -> pa.Array | None:
+    """The different terms, if ``rows``, a bound of them that was counted, lets them go to all tasks."""
+    return pa.array([r.term for r in asked.select("term").distinct().collect()], pa.string()) if rows <= SMALL else None
+
+
+def term_counts(docs: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
+    """docs, one row a document -> doc_id, dl, term, tf of the asked terms (``rows`` bounds their number). A text's tokens stand in one
+    row, so they are counted there, and nothing is shuffled."""
+    wanted = wanted_terms(asked, rows)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, size, row, code, ends, _ = runs(batch.column(1), wanted)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(size[row]), names.take(pa.array(code)), pa.array(np.diff(ends))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "term", "tf"])
 
-def _tokens(docs: DataFrame) -> Column:
-    return F.col("tokens") if "tokens" in docs.columns else T.index_tokens("text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", T.index_tokens("text").alias("w")).mapInArrow(count, f"doc_id {kind}, dl bigint, term string, tf bigint")
+    return found if wanted is not None else found.join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "dl", "term", "tf")
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """doc_id, dl: every index token counts."""
-    return docs.select("doc_id", F.size(_tokens(docs)).cast("bigint").alias("dl"))
+    return docs.select("doc_id", F.size(T.index_tokens("text")).cast("bigint").alias("dl"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -58,18 +95,14 @@ def bm25_scores(questions: DataFrame, docs: DataFrame, scope: DataFrame | None =
     """qid, doc_id, score of every document with a term of the question. Frequencies and lengths are of all documents; a scope
     (doc_id) restricts the answer only. Scores are rounded to 6 decimals.
 
-    A document's length travels with its tokens, so texts are cut once for the postings and once for the
-    totals. Only the questions' terms leave the scan, counted before the shuffle; where these terms are
-    few, no join shuffles, and a frequent term is no hot key. The outer explode spares the texts a filter
-    that would cut them again; the join drops its nulls."""
+    A document's length travels with its terms, so texts are cut once for the counts and once for the
+    totals. Only the questions' terms leave the scan; where these are few, no join shuffles, and a
+    frequent term is no hot key."""
     asked = query_terms(questions)
     rows = asked.count()
-    cut = docs.select("doc_id", _tokens(docs).alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
-    tokens = cut.select("doc_id", "dl", F.explode_outer("w").alias("term")).join(small(asked.select("term").distinct(), rows), "term", "left_semi")
-    found = tokens.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = term_counts(docs, asked, rows)
     totals = doc_lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    # Counted through tf, which is never 0: the shuffled counts are then the same as below, and reused.
-    spread = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    spread = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = spread.join(F.broadcast(totals)).select("term", "avgdl", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
     per_term = found.join(small(asked.join(weighed, "term"), rows), "term")
@@ -84,27 +117,46 @@ def top(scored: DataFrame, id_col: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def hash_vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs(id, text), one row an id -> id, v array of (bucket, weight): the sparse unit vector. A term adds +-1 to
+    bucket crc32 % 512, the sign by bit 16; buckets are damped by a square root and normalised. All inside a row: no shuffle. Texts
+    without a term, or whose signs cancel, have no row."""
+    dims = DIMS
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _, row, code, ends, _ = runs(batch.column(1))
+            h = np.array([zlib.crc32(t.encode()) for t in names.to_pylist()], np.int64)
+            signed = np.where(h & (1 << 16), 1, -1) * 1.0
+            key, at = np.unique(row * dims + h[code] % dims, return_inverse=True) if len(row) else (np.empty(0, np.int64), np.empty(0, np.int64))
+            x = np.bincount(at, signed[code] * np.diff(ends), len(key)) if len(row) else np.empty(0)
+            key, x = key[x != 0], x[x != 0]
+            whose, start = np.unique(key // dims, return_index=True)
+            norm = np.sqrt(np.bincount(np.searchsorted(whose, key // dims), np.abs(x), len(whose)))
+            weight = np.sign(x) * np.sqrt(np.abs(x)) / norm[np.searchsorted(whose, key // dims)]
+            entries = pa.StructArray.from_arrays([pa.array(key % dims), pa.array(weight)], names=["bucket", "weight"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), entries)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), lists], names=[id_col, "v"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, T.terms("text").alias("w")).mapInArrow(embed, f"{id_col} {kind}, v array<struct<bucket:bigint,weight:double>>")
+
+
 def hash_embedding(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, bucket, weight: the sparse unit vector. A term adds +-1 to bucket crc32 % 512, the sign by bit
-    16; buckets are damped by a square root and normalised."""
-    h = F.crc32(F.col("term").cast("binary"))
-    signed = F.when(h.bitwiseAND(F.lit(1 << 16)) != 0, F.lit(1)).otherwise(F.lit(-1))
-    words = docs.select(id_col, F.explode_outer(F.col("terms") if "terms" in docs.columns else T.terms("text")).alias("term")).filter("term IS NOT NULL")  # outer: see bm25
-    sums = words.groupBy(id_col, (h % DIMS).alias("bucket")).agg(F.sum(signed).alias("x")).filter("x <> 0")
-    damped = sums.withColumn("d", F.signum("x") * F.sqrt(F.abs("x")))
-    norm = F.sqrt(F.sum(F.col("d") * F.col("d")).over(Window.partitionBy(id_col)))
-    return damped.select(id_col, "bucket", (F.col("d") / norm).alias("weight"))
+    """id, bucket, weight: a row for each entry of ``hash_vectors``."""
+    return hash_vectors(docs, id_col).select(id_col, F.explode("v").alias("e")).select(id_col, "e.bucket", "e.weight")
 
 
 def dense(asked: DataFrame, held: DataFrame, k: int = 8) -> DataFrame:
-    """Cosine top-k of sparse unit vectors: asked (qid, bucket, weight), held (doc_id, bucket, weight). A
+    """Cosine top-k of sparse unit vectors: asked (qid, bucket, weight), held (doc_id, v) of ``hash_vectors`` or (doc_id, bucket, weight). A
     question and a document without a common bucket are no pair; ties go to the smaller id.
 
     The questions, up to ENTRIES numbers, are sent to all tasks, which keep k documents a question; more
     questions than that are joined on buckets."""
     head = asked.select("qid", "bucket", "weight").limit(ENTRIES + 1).toPandas()
     if len(head) > ENTRIES:
-        pairs = asked.select("qid", "bucket", F.col("weight").alias("a")).join(held, "bucket")
+        flat = held.select("doc_id", F.explode("v").alias("e")).select("doc_id", "e.*") if "v" in held.columns else held
+        pairs = asked.select("qid", "bucket", F.col("weight").alias("a")).join(flat, "bucket")
         return top(pairs.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("weight")), 6).alias("score")), "doc_id", k)
     ids, at = np.unique(head.qid.to_numpy("int64"), return_inverse=True)
     sent = held.sparkSession.sparkContext.broadcast((ids, at, head.bucket.to_numpy("int64"), head.weight.to_numpy("float64")))
@@ -143,7 +195,7 @@ def dense(asked: DataFrame, held: DataFrame, k: int = 8) -> DataFrame:
         if len(kept[0]):
             yield pd.DataFrame({"qid": ids[kept[0]], "doc_id": kept[1], "score": kept[2]})
 
-    rows = held.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
+    rows = held.select("doc_id", "v") if "v" in held.columns else held.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
     return top(rows.mapInPandas(best, "qid bigint, doc_id bigint, score double"), "doc_id", k)
 
 
@@ -195,7 +247,7 @@ def drop_repeats(hits: DataFrame, docs: DataFrame, k: int = 8, rows: int = SMALL
 
 def hybrid(questions: DataFrame, docs: DataFrame, k: int = 8, pool: int = 40) -> DataFrame:
     """BM25 and hash vectors, fused, repeats dropped."""
-    vectors = hash_embedding(docs)
+    vectors = hash_vectors(docs)
     asked = hash_embedding(questions, "qid")
     fused = fuse((dense(asked, vectors, pool), 1.0), (bm25(questions, docs, pool), 1.0))
     # No question has more than both pools.

@@ -1,7 +1,7 @@
 """The search path over a corpus: shortlist of documents, three rankings, fusion, reranking, links, context.
 
-Texts are cut into tokens once; postings, lengths and vectors are made of that table. A question's shortlist
-bounds what the scoped rankings compare: its chunks are joined by document, so no ranking meets all chunks.
+Terms and vectors are made row by row, without a shuffle. A question's shortlist bounds what the scoped
+rankings compare: its chunks are joined by document, so no scoped ranking meets all chunks.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ class Corpus:
     sections: DataFrame
 
     def prepare(self, questions: DataFrame) -> Prepared:
-        """Tables that every step reads: tokens, vectors and the scores of all chunks with a term of a question."""
-        texts = self.chunks.select(F.col("chunk_id").alias("doc_id"), "text", F.col("doc_id").alias("owner"), "section_id")
-        cut = written(retrieval.tokenised(texts, "owner", "section_id"), "tokens")
-        asked = written(retrieval.hash_embedding(questions, "qid"), "asked")
-        return Prepared(self, questions, cut, written(retrieval.hash_embedding(cut), "vectors"), asked, written(retrieval.bm25_scores(questions, cut), "scores"))
+        """Tables that several steps read: vectors, and the scores of all chunks with a term of a question."""
+        texts = self.chunks.select(F.col("chunk_id").alias("doc_id"), "text")
+        members = self.chunks.select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("owner"), "section_id")
+        asked = written(retrieval.hash_vectors(questions, "qid"), "asked")
+        return Prepared(self, questions, members, written(retrieval.hash_vectors(texts), "vectors"), asked, written(retrieval.bm25_scores(questions, texts), "scores"))
 
 
 @dataclass
@@ -49,8 +49,10 @@ class Prepared:
 
     def cosines(self, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         """pairs(qid, doc_id) -> qid, doc_id, score of pairs with a common bucket."""
-        both = pairs.join(vectors, "doc_id").join(self.asked.withColumnRenamed("weight", "a"), ["qid", "bucket"])
-        return both.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("weight")), 6).alias("score"))
+        maps = self.asked.select("qid", F.map_from_entries("v").alias("q"))
+        met = F.filter(F.transform("v", lambda e: F.try_element_at("q", e["bucket"]) * e["weight"]), lambda x: x.isNotNull())
+        both = pairs.join(vectors, "doc_id").join(maps, "qid").select("qid", "doc_id", met.alias("m")).filter("size(m) > 0")
+        return both.select("qid", "doc_id", F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
 
     def best(self, pairs: DataFrame, keys: list[str], n: int, pool: int = POOL) -> DataFrame:
         """The n best chunks of each group of pairs(keys, doc_id): BM25 and vectors fused."""
@@ -63,7 +65,8 @@ class Prepared:
     def scope(self) -> DataFrame:
         """qid, owner: documents to search in."""
         owners = self.cut.select("doc_id", "owner")
-        near = retrieval.dense(self.asked, retrieval.hash_embedding(self.corpus.cards), scopes.CARDS).select("qid", "doc_id", "score")
+        flat = self.asked.select("qid", F.explode("v").alias("e")).select("qid", "e.*")
+        near = retrieval.dense(flat, retrieval.hash_vectors(self.corpus.cards), scopes.CARDS).select("qid", "doc_id", "score")
         found = retrieval.top(self.scores, "doc_id", POOL).join(owners, "doc_id").select("qid", F.col("owner").alias("doc_id"), "rank")
         return scopes.shortlist(self.corpus.cards.select("doc_id"), near, found).withColumnRenamed("doc_id", "owner")
 
@@ -74,7 +77,7 @@ class Prepared:
         lexical = retrieval.top(self.scores.join(pairs, ["qid", "doc_id"]), "doc_id", POOL)
         dense = retrieval.top(self.cosines(pairs, self.vectors), "doc_id", POOL)
         places = self.corpus.sections.select(F.col("section_id").alias("doc_id"), F.col("doc_id").alias("owner"), "text")
-        sections = self.cosines(scope.join(places.select("doc_id", "owner"), "owner").select("qid", "doc_id"), retrieval.hash_embedding(places))
+        sections = self.cosines(scope.join(places.select("doc_id", "owner"), "owner").select("qid", "doc_id"), retrieval.hash_vectors(places))
         members = self.cut.select(F.col("doc_id").alias("chunk_id"), "section_id")
         expanded = scopes.section_chunks_ranked(sections.withColumnRenamed("doc_id", "section_id"), members).withColumnRenamed("chunk_id", "doc_id")
         fused = retrieval.fuse((dense, 1.0), (lexical, 1.0), (expanded, SECTION_WEIGHT)).filter(F.col("rank") <= max(k, RERANKED))

@@ -558,3 +558,17 @@ def one_of_each(df: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "documents").select("doc_id", "text"), Near(shingle=3, percent=85))
+
+
+#: All pairs with a common shingle and sizes that allow the similarity, then everything reachable.
+OP2_SQL = """
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM doc),
+member AS MATERIALIZED (SELECT rid, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (SELECT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb, count(*) AS met FROM member a JOIN member b ON a.x = b.x AND a.rid < b.rid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * met >= 85 * (na + nb - met)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT rid, rid AS there FROM sets WHERE rid IN (SELECT a FROM edge) UNION SELECT reach.rid, edge.b FROM reach JOIN edge ON edge.a = reach.there),
+least_id AS (SELECT reach.rid, min(doc_id) AS c FROM reach JOIN sets ON sets.rid = there GROUP BY reach.rid)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept FROM sets LEFT JOIN least_id USING (rid)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm import licenses, quality
 from lectern.llm.chat import op11_chat_formatting, op11_sql
 from lectern.llm.common import read
-from lectern.llm.dedup import op2_near_dedup
+from lectern.llm.dedup import OP2_SQL, op2_near_dedup
 from lectern.llm.knn import OP10_SQL, op10_top_k
 from lectern.llm.langid import op7_language_id
 from lectern.llm.lloyd import op13_centroid_clustering, op13_sql
@@ -16,7 +16,7 @@ from lectern.llm.mixing import op4_mixing
 from lectern.llm.packing import op9_packing
 from lectern.llm.pii import op6_pii
 from lectern.llm.spelling import OP12_SQL, op12_spelling_variants
-from lectern.llm.suffix import op8_repeated_bytes
+from lectern.llm.suffix import OP8_SQL, op8_repeated_bytes
 from lectern.llm.toxicity import op3_toxicity
 
 
@@ -99,4 +99,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op5_quality_rules": _op5_sql(), "op10_top_k": OP10_SQL, "op11_chat_formatting": op11_sql(), "op12_spelling_variants": OP12_SQL, "op13_centroid_clustering": op13_sql()}
+    return {"op1_license_scan": _op1_sql(), "op2_near_dedup": OP2_SQL, "op5_quality_rules": _op5_sql(), "op8_repeated_bytes": OP8_SQL, "op10_top_k": OP10_SQL, "op11_chat_formatting": op11_sql(), "op12_spelling_variants": OP12_SQL, "op13_centroid_clustering": op13_sql()}

@@ -312,3 +312,20 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def op8_repeated_bytes(spark, sf_dir: str) -> DataFrame:
     return remove(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+#: Every window of 200 bytes, as hexadecimal digits, by its digest.
+OP8_SQL = """
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pos AS (SELECT rid, unnest(range(0, greatest(0, length(x) // 2 - 199))) AS p, x FROM doc),
+win AS MATERIALIZED (SELECT rid, p, md5_number(substr(x, 2 * p + 1, 400)) AS h FROM pos),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS MATERIALIZED (SELECT rid, p FROM win WHERE h IN (SELECT h FROM twice)),
+step AS (SELECT rid, p, CASE WHEN p - lag(p) OVER w <= 200 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW w AS (PARTITION BY rid ORDER BY p)),
+run AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS r FROM step),
+span AS (SELECT rid, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY rid, r),
+per AS (SELECT rid, sum(b - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM span GROUP BY rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN a IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda i:
+        substr(x, CASE WHEN i = 1 THEN 1 ELSE 2 * b[i - 1] + 1 END, CASE WHEN i = 1 THEN 2 * a[1] WHEN i = len(a) + 1 THEN length(x) - 2 * b[i - 1] ELSE 2 * (a[i] - b[i - 1]) END)), '') END)) AS kept_sha256
+FROM doc LEFT JOIN per USING (rid)"""

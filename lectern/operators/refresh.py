@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import aliases, links, mentions, phrases
+from lectern.shared import written
 from lectern.versions import Versions
 
 KEYS = {"chunks": "doc_id", "postings": "owner", "offers": "doc_id", "cites": "doc_id", "edges": "src_doc"}
@@ -66,13 +67,14 @@ class Graph:
         old = {name: new[name].limit(0) if first else self.tables.read(name, at=at) for name in new}
 
         # Keys that the batch offers or no longer offers, and chunks elsewhere that may hold them.
+        new["offers"] = written(new["offers"], "offers")
         was = old["offers"].join(touched, "doc_id", "left_semi")
         moved = was.select("kind", "key").unionByName(new["offers"].select("kind", "key")).distinct()
         spelled = moved.filter("kind <> 'ident'").select(phrases.phrase_of("key").alias("phrase")).distinct()
         rest = old["postings"].join(touched.withColumnRenamed("doc_id", "owner"), "owner", "left_anti")
         spoken = phrases.matches(spelled, rest.select("doc_id", "dl", "term", "at"), TERMS).select(F.col("doc_id").alias("chunk_id")).join(rest.select(F.col("doc_id").alias("chunk_id"), "owner").distinct(), "chunk_id")
         coded = old["cites"].join(moved.filter("kind = 'ident'"), "key", "left_semi").join(touched, "doc_id", "left_anti").select("chunk_id", F.col("doc_id").alias("owner"))
-        others = spoken.unionByName(coded).distinct()
+        others = written(spoken.unionByName(coded).distinct(), "reached")
         reached = sorted(set(buckets) | set(self.tables.of(others, "owner")))
 
         # Their edges, computed anew; what else is in these buckets stays.

@@ -7,6 +7,8 @@ import pytest
 from lectern.operators import links, refresh, tables
 from lectern.versions import Conflict, Versions
 
+#: Twenty were run once; each takes seconds of job overhead here.
+STEPS = 4
 CHUNKS = "chunk_id long, doc_id long, text string, kind string, loc string"
 DOCS = "doc_id long, title string, path string, head string"
 HEADS = "doc_id long, ordinal long, title string, first_chunk long"
@@ -66,14 +68,16 @@ def test_refresh_equals_a_rebuild(spark, tmp_path):
         one = lambda data, schema: spark.createDataFrame(data, schema).coalesce(1)
         return one([m[0] for m in mine], DOCS), one([c for m in mine for c in m[1]], CHUNKS), one([h for m in mine for h in m[2]], HEADS)
 
-    for step in range(20):
+    kinds = set()
+    for step in range(STEPS):
         changed = r.sample(range(14), r.randint(1, 3)) if step else range(8)
         gone = [d for d in state if d not in changed and step and r.random() < 0.1]
         for d in gone:
             del state[d]
         state |= {d: document(d) for d in changed}
         graph.refresh(*frames(changed), gone=spark.createDataFrame([(d,) for d in gone], "doc_id long") if gone else None)
-        if step in (0, 1, 2, 5, 9, 14, 19) or gone:
+        if step:
             got, want = rows(graph.edges()), rows(refresh.full(*frames(state)))
             assert got == want, step
-    assert {e[4] for e in want} >= {"doc", "figure", "section"}
+            kinds |= {e[4] for e in want}
+    assert kinds == {"doc", "figure", "section"}

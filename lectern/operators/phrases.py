@@ -1,7 +1,7 @@
 """Phrases over positional postings: which texts hold the tokens of a phrase one after the other.
 
-``index`` is the inverted index: (doc_id, dl, term, at), ``at`` the sorted positions of the term, ``dl`` the
-text's number of tokens. Phrases are answered from it alone; no text is read or searched again. Of a phrase's
+``index`` is the inverted index: (doc_id, dl, term, at) of words and of pairs of neighbouring words, ``at`` the sorted
+positions of the term, ``dl`` the text's number of tokens. Phrases are answered from it alone; no text is read or searched again. Of a phrase's
 terms the rarest gives the candidates, shifted to where the phrase would start; every other term is looked up
 by (doc_id, term), which is unique, so a frequent word is no hot key, and the shifted positions are
 intersected.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +27,34 @@ from lectern.shared import written
 CLAUSE = "[.,;:!?\\n]+"
 
 
+def neighbours(lists: pa.ListArray) -> pa.ListArray:
+    """The pairs of tokens that follow each other, joined by a blank."""
+    flat, size = lists.flatten(), np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    last = np.zeros(len(flat), bool)
+    last[np.cumsum(size)[size > 0] - 1] = True
+    first = np.flatnonzero(~last)
+    pairs = pc.binary_join_element_wise(flat.take(pa.array(first)), flat.take(pa.array(first + 1)), " ")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.maximum(size - 1, 0))]).astype(np.int32)), pairs)
+
+
 def index(docs: DataFrame, terms: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """docs(doc_id, text), one row a document -> doc_id, dl, term, at. With ``terms`` (term; ``rows`` bounds their number) only these
     leave the scan. A text's tokens stand in one row, so its postings are made there, without a shuffle."""
     wanted = wanted_terms(terms, rows) if terms is not None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, size, row, code, ends, place = runs(batch.column(1), wanted)
+    def units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists, length = batch.column(1), None
+        for some in (lists, neighbours(lists)):
+            names, size, row, code, ends, place = runs(some, wanted)
+            length = size if length is None else length  # in tokens
             at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
-            columns = [batch.column(0).take(pa.array(row)), pa.array(size[row]), names.take(pa.array(code)), at]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(length[row]), names.take(pa.array(code)), at]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "term", "at"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from units(batch)
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", T.index_tokens("text").alias("w")).mapInArrow(run, f"doc_id {kind}, dl bigint, term string, at array<int>")
     return found if terms is None or wanted is not None else found.join(terms, "term", "left_semi").select("doc_id", "dl", "term", "at")
@@ -60,9 +77,11 @@ def clauses(questions: DataFrame) -> DataFrame:
 
 
 def terms_of(phrases: DataFrame) -> DataFrame:
-    """phrase -> phrase, n, off, term."""
-    words = F.split("phrase", " ")
-    return phrases.select("phrase").filter("phrase <> ''").distinct().select("phrase", F.size(words).alias("n"), F.posexplode(words).alias("off", "term"))
+    """phrase -> phrase, n, off, term: its pairs of words, which are rarer than words, or its only word."""
+    w = F.split("phrase", " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.array_join(F.slice(w, i, 2), " "))
+    units = F.when(F.size(w) > 1, pairs).otherwise(w)
+    return phrases.select("phrase").filter("phrase <> ''").distinct().select("phrase", F.size(units).alias("n"), F.posexplode(units).alias("off", "term"))
 
 
 def matches(phrases: DataFrame, held: DataFrame, rows: int) -> DataFrame:

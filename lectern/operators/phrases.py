@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.retrieval import B, K1, runs, small, top, wanted_terms
+from lectern.operators.retrieval import B, K1, pieces, runs, small, top, wanted_terms
 from lectern.shared import written
 
 CLAUSE = "[.,;:!?\\n]+"
@@ -52,7 +52,7 @@ def index(docs: DataFrame, terms: DataFrame | None = None, rows: int | None = No
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "term", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield from units(batch)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -22,6 +22,8 @@ VECTORS, QUESTIONS = 16_384, 2_048
 #: Rows that a broadcast table may have (terms or ids: some 50 MB); numbers of question vectors that are
 #: sent to all tasks (48 MB); documents multiplied with them at a time.
 SMALL, ENTRIES, DENSE_ROWS = 500_000, 2_000_000, 2_000
+#: Tokens that a task looks at together.
+TOKENS = 200_000
 
 
 def runs(lists: pa.ListArray, wanted: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,6 +46,17 @@ def runs(lists: pa.ListArray, wanted: pa.Array | None = None) -> tuple[pa.Array,
     return names, size, row[mine[first]], code[mine[first]], np.append(first, len(key)), place[mine]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that their lists hold about TOKENS tokens: arrays of a task stay some tens of MB. A longer text is a piece of its own."""
+    for batch in batches:
+        size = np.cumsum(np.nan_to_num(pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOKENS, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def wanted_terms(asked: DataFrame, rows: int) -> pa.Array | None:
     """The different terms, if ``rows``, a bound of them that was counted, lets them go to all tasks."""
     return pa.array([r.term for r in asked.select("term").distinct().collect()], pa.string()) if rows <= SMALL else None
@@ -55,7 +68,7 @@ def term_counts(docs: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
     wanted = wanted_terms(asked, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, size, row, code, ends, _ = runs(batch.column(1), wanted)
             columns = [batch.column(0).take(pa.array(row)), pa.array(size[row]), names.take(pa.array(code)), pa.array(np.diff(ends))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "term", "tf"])
@@ -124,7 +137,7 @@ def hash_vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     dims = DIMS
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, _, row, code, ends, _ = runs(batch.column(1))
             h = np.array([zlib.crc32(t.encode()) for t in names.to_pylist()], np.int64)
             signed = np.where(h & (1 << 16), 1, -1) * 1.0

@@ -19,27 +19,29 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the standard policy rejects go."""
+    """Documents that the standard policy rejects go. A null or empty text has too few words and goes; repeated rows are judged alike."""
     return quality.documents_kept(docs).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays, the smallest id: five-word shingles, similarity 0.8 or more. Of rows with one id one stays;
+    null and empty texts are linked with nothing and stay, as do rows without an id."""
     return dedup.one_of_each(docs, dedup.Near(shingle=5, percent=80)).select(*COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind; n_chars follows the text. Null and empty texts stay as they are; repeated rows are masked each."""
     return pii.mask(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for."""
+    """Documents as often as their source's weight asks for. Rows without a source form the source ''; texts without tokens come with
+    every whole pass; ties of the permutation's hash go by id and text, identical rows together."""
     return mixing.mix(docs, mixing.Mix()).select("row.*").select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 tokens."""
+    """Windows of 2048 tokens. A null or empty text is the end id alone; repeated rows are packed each."""
     import public_tokenizers
 
     return packing.pack(docs, packing.Packing(public_tokenizers.path("word_bpe_49k.json")))

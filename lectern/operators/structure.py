@@ -33,13 +33,6 @@ def numbering(blocks: DataFrame) -> DataFrame:
     return enough.select("doc_id", "idx", F.least("depth", F.lit(4)).cast("bigint").alias("level"), (F.col("depth") > 1).alias("strong"))
 
 
-def typography(blocks: DataFrame, body: float) -> DataFrame:
-    """doc_id, idx, level: larger than the body by ratio and points; levels are dense ranks of sizes."""
-    big = blocks.filter(headingish("text") & (F.col("size") >= body * 1.05) & (F.col("size") - body >= 0.75))
-    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc(F.bround("size"))))
-    return big.select("doc_id", "idx", F.least(rank, F.lit(4)).cast("bigint").alias("level"))
-
-
 def tree(blocks: DataFrame, deepest: int = 6) -> DataFrame:
     """blocks(doc_id, idx, text, level; level null for body) -> doc_id, idx, text, level, section, parent, path. ``section`` is the
     heading that a block stands under (its own idx for a heading, null before the first one), ``parent`` the section above it, ``path``

@@ -181,13 +181,13 @@ def dense(asked: DataFrame, held: DataFrame, k: int = 8) -> DataFrame:
         at, bucket, weight = at[order], bucket[order], weight[order]
         kept = (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))  # question, document, score
         least = np.full(len(ids), -np.inf)
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo : lo + step]
-                docs, x = part.doc_id.to_numpy("int64"), np.zeros((len(part), dims))
-                row = np.repeat(np.arange(len(part)), part.v.map(len))
-                entries = [e for v in part.v for e in v]
-                x[row, [e["bucket"] for e in entries]] = [e["weight"] for e in entries]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                docs, lists = part.column(0).to_numpy(), part.column(1)
+                x = np.zeros((len(docs), dims))
+                at_bucket, at_weight = (c.to_numpy() for c in lists.flatten().flatten())
+                x[np.repeat(np.arange(len(docs)), pc.list_value_length(lists).to_numpy()), at_bucket] = at_weight
                 filled = (x != 0).astype("float32")
                 new = [kept]
                 for first in range(0, len(ids), questions):
@@ -206,10 +206,10 @@ def dense(asked: DataFrame, held: DataFrame, k: int = 8) -> DataFrame:
                 last = rank == k - 1
                 least[who[last]] = score[last]
         if len(kept[0]):
-            yield pd.DataFrame({"qid": ids[kept[0]], "doc_id": kept[1], "score": kept[2]})
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], names=["qid", "doc_id", "score"])
 
     rows = held.select("doc_id", "v") if "v" in held.columns else held.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
-    return top(rows.mapInPandas(best, "qid bigint, doc_id bigint, score double"), "doc_id", k)
+    return top(rows.mapInArrow(best, "qid bigint, doc_id bigint, score double"), "doc_id", k)
 
 
 def vector_top_k(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:

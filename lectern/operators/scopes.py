@@ -20,9 +20,11 @@ def first_by(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "r
 
 def shortlist(searchable: DataFrame, cards: DataFrame, hits: DataFrame) -> DataFrame:
     """qid, doc_id to search in: all where there are fewer than FEW documents, else those of the best CARDS card scores and of
-    the best CHUNKS chunk hits. searchable: doc_id; cards: qid, doc_id, score; hits: qid, doc_id, rank."""
-    top = first_by(cards.join(searchable, "doc_id"), ["qid"], [F.desc("score"), "doc_id"], CARDS).select("qid", "doc_id")
-    found = hits.filter(F.col("rank") <= CHUNKS).join(searchable, "doc_id").select("qid", "doc_id")
+    the best CHUNKS chunk hits. searchable: doc_id; cards: qid, doc_id, score; hits: qid, doc_id, rank (null: no hit)."""
+    able = searchable.select(F.col("doc_id").alias("able"))  # ids may be repeated or null
+    within = lambda df: df.join(able, F.col("doc_id").eqNullSafe(F.col("able")), "left_semi")
+    top = first_by(within(cards), ["qid"], [F.desc("score"), F.asc_nulls_last("doc_id")], CARDS).select("qid", "doc_id")
+    found = within(hits.filter(F.col("rank") <= CHUNKS)).select("qid", "doc_id")
     narrow = top.unionByName(found).distinct()
     few = F.broadcast(searchable.agg((F.count(F.lit(1)) < FEW).alias("few")))  # one row
     everything = searchable.join(few).filter("few").select("doc_id")  # fewer than FEW rows, or none

@@ -30,18 +30,26 @@ def section_rank_expand(spark, sf_dir):
 
 
 def document_shortlist(spark, sf_dir):
-    """Stand-in scores: a card is near a page if their lengths are, and the first such documents are hits."""
-    docs = read(spark, sf_dir, "documents")
-    pages = read(spark, sf_dir, "pages")
-    searchable = docs.filter("lang <> 'fr'").select("doc_id")
-    asked = pages.select(F.col("page_id").alias("qid"), F.length("html").alias("n"))
-    # Lengths less than 40 apart lie in one or in neighbouring buckets of 40.
-    bucket = lambda c: F.floor(F.col(c) / 40)
-    spread = docs.select("doc_id", "n_chars", F.explode(F.array(bucket("n_chars") - 1, bucket("n_chars"), bucket("n_chars") + 1)).alias("b"))
-    near = asked.withColumn("b", bucket("n")).join(spread, "b").filter(F.abs(F.col("n") - F.col("n_chars")) < 40)
-    cards = near.select("qid", "doc_id", (-F.abs(F.col("n") - F.col("n_chars"))).alias("score"))
-    hits = scopes.first_by(near, ["qid"], ["doc_id"], 3).select("qid", "doc_id", "rank")
-    return scopes.shortlist(searchable, cards, hits)
+    """Stand-in scores: a card is near a page if their lengths are, and the first such documents are hits. Only lengths count: of documents
+    of one length the first ones stand for all, and pages of one length share theirs. So near pairs are listed by length, not by page."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.expr("lang <> 'fr'").alias("able"))
+    asked = read(spark, sf_dir, "pages").select(F.col("page_id").alias("qid"), F.length("html").alias("n"))
+    searchable = docs.filter("able")
+    by_id = F.asc_nulls_last("doc_id")
+
+    def first_near(rows, order, n):
+        """qid, d, doc_id, able: for each row of a page the first n of the documents less than 40 longer or shorter."""
+        held = scopes.first_by(rows, ["n_chars"], [by_id], n).drop("rank")
+        # Lengths less than 40 apart lie in one or in neighbouring buckets of 40.
+        bucket = lambda c: F.floor(F.col(c) / 40)
+        spread = held.withColumn("b", F.explode(F.array(bucket("n_chars") - 1, bucket("n_chars"), bucket("n_chars") + 1)))
+        near = asked.select("n").distinct().withColumn("b", bucket("n")).join(spread, "b").withColumn("d", F.abs(F.col("n") - F.col("n_chars"))).filter("d < 40")
+        return asked.join(scopes.first_by(near, ["n"], order, n).drop("rank"), "n").select("qid", "d", "doc_id", "able")
+
+    cards = first_near(searchable, ["d", by_id], scopes.CARDS).select("qid", "doc_id", (-F.col("d")).alias("score"))
+    placed = scopes.first_by(first_near(docs, [by_id], 3), ["qid"], [by_id], 3)
+    hits = placed.select("qid", "doc_id", F.when(F.col("able"), F.col("rank")).alias("rank"))  # a place taken by a text not searchable is no hit
+    return scopes.shortlist(searchable.select("doc_id"), cards, hits)
 
 
 def figures_per_section(spark, sf_dir):
